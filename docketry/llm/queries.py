@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, mixing, sharding
+from docketry.llm import chat, mixing, sharding, tokens
 from docketry.llm.base import table
 
 N_SHARDS = 24
@@ -22,6 +22,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in wavelet files, read back."""
+    import public_tokenizers
+
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are made of control strings."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -33,6 +40,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op5_tokens": op5_tokens,
     "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {}
