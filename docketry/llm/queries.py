@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, mixing, sharding, tokens
+from docketry.llm import chat, mixing, sharding, simhash, tokens
 from docketry.llm.base import table
 
 N_SHARDS = 24
@@ -29,6 +29,11 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their SimHash and near-duplicate component."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are made of control strings."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_tokens": op5_tokens,
+    "op6_simhash": op6_simhash,
     "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {}
