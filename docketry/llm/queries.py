@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, mixing, sharding, simhash, tokens
+from docketry.llm import chat, mixing, rules, sharding, simhash, tokens
 from docketry.llm.base import table
 
 N_SHARDS = 24
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by the voting rules."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 24 equal shards by rendezvous hashing of doc_id."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS, [1.0] * (N_SHARDS + 1))
@@ -43,6 +48,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_tokens": op5_tokens,
