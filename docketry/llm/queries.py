@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, mixing, rules, sharding, simhash, tokens
+from docketry.llm import chat, classifier, mixing, rules, sharding, simhash, tokens
 from docketry.llm.base import table
 
 N_SHARDS = 24
@@ -39,6 +39,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
 
 
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents graded by a model of the labels."""
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are made of control strings."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_tokens": op5_tokens,
     "op6_simhash": op6_simhash,
+    "op7_classifier": op7_classifier,
     "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {}
