@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, classifier, mixing, rules, sharding, simhash, tokens
+from docketry.llm import chat, classifier, decontaminate, mixing, rules, sharding, simhash, tokens
 from docketry.llm.base import table
 
 N_SHARDS = 24
@@ -44,6 +44,11 @@ def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents searched for all benchmark items."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are made of control strings."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tokens": op5_tokens,
     "op6_simhash": op6_simhash,
     "op7_classifier": op7_classifier,
+    "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {}
