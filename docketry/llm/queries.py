@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, classifier, decontaminate, mixing, rules, sharding, simhash, tokens
+from docketry.llm import chat, classifier, decontaminate, mixing, rules, secrets, sharding, simhash, tokens
 from docketry.llm.base import table
 
 N_SHARDS = 24
@@ -44,6 +44,11 @@ def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scanned for secrets."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents searched for all benchmark items."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tokens": op5_tokens,
     "op6_simhash": op6_simhash,
     "op7_classifier": op7_classifier,
+    "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
 }
