@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat, classifier, decontaminate, mixing, rules, secrets, sharding, simhash, tokens
+from docketry.llm import chat, classifier, decontaminate, lm, mixing, rules, secrets, sharding, simhash, tokens
 from docketry.llm.base import table
 
 N_SHARDS = 24
@@ -17,6 +17,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the bigram counts of all others."""
+    return lm.score(table(spark, sf_dir, "documents"), order=2)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 24 equal shards by rendezvous hashing of doc_id."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS, [1.0] * (N_SHARDS + 1))
@@ -64,6 +69,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_lm": op2_lm,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_tokens": op5_tokens,
