@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 18
@@ -167,9 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with expected_grade and p_grade_1, p_grade_2, ... as a last struct column `_score`."""
+    """`_row` (all columns of docs) and `_score` (expected_grade, tails: P(grade >= k), k = 1, 2)."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
     if model is None:
-        return docs.withColumn("_score", F.lit(None).cast("struct<expected_grade:double,tails:array<double>>"))
+        return rows.select("_row", F.lit(None).cast("struct<expected_grade:double,tails:array<double>>").alias("_score"))
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # DIMENSIONS numbers
 
     @F.pandas_udf("struct<expected_grade:double,tails:array<double>>")
@@ -179,17 +180,20 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
             tails = np.array([own.tails(features(t)) for t in texts]).reshape(-1, GRADES - 1)
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tails": list(tails)})
 
-    return docs.withColumn("_score", score(F.col(text).cast("string")))
+    return rows.select("_row", score("_text").alias("_score"))
+
+
+def accepted(threshold: float) -> Column:
+    return F.coalesce(F.col("_score.tails")[GRADES - 2] >= threshold, F.lit(True))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """key, expected_grade, p_grade_1, p_grade_2, kept (p_grade_2 >= threshold) for every row."""
     found = scored(docs.select(key, text), train(docs, labels, key, text, sample), text)
-    tail = lambda k: F.col("_score.tails")[k]
-    return found.select(key, F.col("_score.expected_grade").alias("expected_grade"), tail(0).alias("p_grade_1"), tail(1).alias("p_grade_2"), F.coalesce(tail(1) >= threshold, F.lit(True)).alias("kept"))
+    tails = [F.col("_score.tails")[k - 1].alias(f"p_grade_{k}") for k in range(1, GRADES)]
+    return found.select(F.col(f"_row.{key}").alias(key), F.col("_score.expected_grade").alias("expected_grade"), *tails, accepted(threshold).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, that the model does not reject."""
-    found = scored(docs, train(docs, labels, key, text, sample), text)
-    return found.where(F.coalesce(F.col("_score.tails")[1] >= threshold, F.lit(True))).select(*docs.columns)
+    return scored(docs, train(docs, labels, key, text, sample), text).where(accepted(threshold)).select("_row.*")

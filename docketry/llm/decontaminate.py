@@ -187,15 +187,15 @@ def matches(text: Column, index: Broadcast) -> Column:
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", q: int = Q, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """docs with the matches of all items in a last column `_matches`."""
+    """`_row` (all columns of docs) and `_matches` of all items."""
     spark = docs.sparkSession
     sized = benchmark.select(F.col(item).cast("long").alias("item"), F.col("text").cast("string").alias("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"))
     blocks = sized.withColumn("block", F.floor(F.sum("size").over(Window.orderBy("item", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / block))
-    found = docs.withColumn("_matches", F.array().cast(MATCHES))
+    found = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"), F.array().cast(MATCHES).alias("_matches"))
     for number in [r["block"] for r in blocks.select("block").distinct().orderBy("block").collect()]:
         items = [(r["item"], r["text"]) for r in blocks.where(F.col("block") == number).collect()]  # about `block` characters
-        found = found.withColumn("_matches", F.concat("_matches", matches(F.col(text), spark.sparkContext.broadcast((items, q, rate)))))
-    return found
+        found = found.withColumn("_matches", F.concat("_matches", matches(F.col("_text"), spark.sparkContext.broadcast((items, q, rate)))))
+    return found.drop("_text")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -205,7 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     ids = F.array_sort(F.array_distinct(F.col("_matches.item_id")))
     span = F.transform("_matches", lambda m: F.concat_ws(":", m["item_id"], m["start"], m["end"], m["distance"]))
     return found.select(
-        key,
+        F.col(f"_row.{key}").alias(key),
         (F.size("_matches") > 0).alias("contaminated"),
         F.size(ids).cast("long").alias("n_items"),
         F.array_join(ids, ",").alias("item_ids"),
@@ -216,4 +216,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, without any match."""
-    return with_matches(docs, benchmark, text, **options).where(F.size("_matches") == 0).select(*docs.columns)
+    return with_matches(docs, benchmark, text, **options).where(F.size("_matches") == 0).select("_row.*")

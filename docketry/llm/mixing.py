@@ -126,8 +126,8 @@ def seeded(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f":{seed}")))
 
 
-def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id", size: str = "size", seed: int = 7, costs: Sequence[int] = COSTS) -> DataFrame:
-    """docs with `copies`: how often the mix takes each row.
+def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id", size: Column | str = "size", seed: int = 7, costs: Sequence[int] = COSTS) -> DataFrame:
+    """`_row` (all columns of docs) and `copies`: how often the mix takes each row.
 
     membership: an array of the source names that a row belongs to (null: none).
     quotas: {source name: words}; a None name is kept. docs is read more than once, so
@@ -136,8 +136,14 @@ def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id",
     runs out, and only that bin's rows (a 1/16**BIN_DIGITS part) are summed one by one.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns({"_pattern": F.coalesce(F.to_json(F.array_sort(F.array_distinct(membership))), F.lit("[]")), "_digest": seeded(key, seed)}).withColumn("_bin", F.substring("_digest", 1, BIN_DIGITS))
-    sums = materialize(rows.groupBy("_pattern", "_bin").agg(F.sum(size).alias("words")), "mix-bins")
+    rows = docs.select(
+        F.struct("*").alias("_row"),
+        F.col(key).alias("_key"),
+        (F.col(size) if isinstance(size, str) else size).cast("long").alias("_size"),
+        F.coalesce(F.to_json(F.array_sort(F.array_distinct(membership))), F.lit("[]")).alias("_pattern"),
+        seeded(key, seed).alias("_digest"),
+    ).withColumn("_bin", F.substring("_digest", 1, BIN_DIGITS))
+    sums = materialize(rows.groupBy("_pattern", "_bin").agg(F.sum("_size").alias("words")), "mix-bins")
     listed = sums.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(listed) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -160,10 +166,16 @@ def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id",
     planned = rows.join(F.broadcast(plans), F.col("_pattern") == F.col("_p"))
     at_edge = F.coalesce(F.col("_bin") == F.col("_edge"), F.lit(False))
     clear = planned.where(~at_edge).withColumn("_more", F.coalesce(F.col("_bin") < F.col("_edge"), F.lit(False)))
-    one_by_one = Window.partitionBy("_pattern").orderBy("_digest", key, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = (F.col("_before") + F.sum(size).over(one_by_one)) * 2 - F.col(size)
+    one_by_one = Window.partitionBy("_pattern").orderBy("_digest", "_key", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = (F.col("_before") + F.sum("_size").over(one_by_one)) * 2 - F.col("_size")
     close = planned.where(at_edge).withColumn("_more", middle <= F.col("_rest") * 2)
-    return clear.unionByName(close).withColumn("copies", F.col("_full") + F.col("_more").cast("int")).select(*docs.columns, "copies")
+    return clear.unionByName(close).select("_row", (F.col("_full") + F.col("_more").cast("int")).alias("copies"))
+
+
+def source_targets(rows: DataFrame, source: str, size: Column, weights: Sequence[int], limit: int) -> tuple[DataFrame, dict]:
+    """Table of the sources' sizes and targets, and the targets in whole words."""
+    by = materialize(targets(rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size")), weights, limit), "mix-targets")
+    return by, {r["source"]: round(r["target"]) for r in by.select("source", "target").limit(MAX_PATTERNS + 1).collect()}
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, limit: int = LIMIT, seed: int = 7) -> DataFrame:
@@ -173,10 +185,17 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     overlapping ones. Sources' sizes are summed before they are shuffled, so a hot source
     costs no more than another.
     """
-    rows = materialize(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size")), "mix-sizes")
-    by = materialize(targets(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))), "mix-targets")
-    quotas = {r["source"]: round(r["target"]) for r in by.select("source", "target").limit(MAX_PATTERNS + 1).collect()}
-    mixed = mix(rows, F.array("_source"), quotas, "_key", "_size", seed, COSTS[:limit])
-    return mixed.join(F.broadcast(by), mixed["_source"].eqNullSafe(by["source"])).select(
-        F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies", F.col("_source").alias(source)
+    rows = materialize(docs.select(F.col(key).alias("key"), F.col(source).alias("own"), word_count(F.col(text)).alias("size")), "mix-sizes")
+    by, quotas = source_targets(rows, "own", F.col("size"), weights, limit)
+    mixed = mix(rows, F.array("own"), quotas, "key", "size", seed, COSTS[:limit]).select("_row.*", "copies")
+    return mixed.join(F.broadcast(by), mixed["own"].eqNullSafe(by["source"])).select(
+        F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("own").alias(source)
     )
+
+
+def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, limit: int = LIMIT, seed: int = 7) -> DataFrame:
+    """The rows of the mix, all columns of docs: each row as often as the mix takes it."""
+    size = word_count(F.col(text))
+    quotas = source_targets(docs, source, size, weights, limit)[1]
+    mixed = mix(docs, F.array(source), quotas, key, size, seed, COSTS[:limit])
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("_row.*")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from docketry.llm import chat, classifier, decontaminate, lm, mixing, rules, secrets, sharding, simhash, tokens
 from docketry.llm.base import table
 
@@ -78,5 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
+#: Names of shards, targets and so on that SQL can give as well.
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -25,13 +25,14 @@ the named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.base import materialize
@@ -39,7 +40,7 @@ from docketry.llm.components import components
 
 BITS = 64
 #: Fingerprints that meet in one place before it is split by further bits.
-LARGE = 8192
+LARGE = 16384
 #: Up to so many fingerprints, those of all places are compared at once.
 FEW = 24
 
@@ -106,14 +107,20 @@ def places(fp: Column, radius: int, count: int) -> Column:
     return F.array(*[x.cast("long") for x in found])
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word, or of several in the last axis."""
+    bits = np.bitwise_count(a ^ b)
+    return bits if a.ndim == 1 else bits.sum(axis=-1, dtype=np.int64)
+
+
 def _tree(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
-    """Breadth-first trees over the links of distinct fingerprints: (node, its new nodes)."""
-    made, rest = [], fps
+    """Breadth-first trees over the links of fingerprints: (place, places that it adds)."""
+    made, rest = [], np.arange(len(fps))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             node = queue.pop()
-            near = np.bitwise_count(rest ^ node) <= radius
+            near = apart(fps[rest], fps[node]) <= radius
             if near.any():
                 reached = rest[near]
                 made.append((node, reached))
@@ -125,72 +132,88 @@ def _tree(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
 def _links(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
     if len(fps) <= LARGE:
         return _tree(fps, radius)
-    made, step = [], -(-BITS // (radius + 1))
-    for low in range(0, BITS, step):
-        group = (fps >> np.uint64(low)) & np.uint64((1 << min(step, BITS - low)) - 1)
-        order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.diff(group[order])) + 1
-        for part in np.split(fps[order], cuts):
-            made += _tree(part, radius)
+    flat = fps.reshape(len(fps), -1)
+    bits = np.unpackbits(flat.view(np.uint8), axis=1, bitorder="little")
+    made = []
+    for group in np.array_split(np.arange(bits.shape[1]), radius + 1):  # one group must agree
+        name = np.packbits(bits[:, group], axis=1)
+        order = np.lexsort(name.T)
+        cuts = np.flatnonzero((name[order][1:] != name[order][:-1]).any(axis=1)) + 1
+        for part in np.split(order, cuts):
+            made += [(part[node], part[reached]) for node, reached in _tree(fps[part], radius)]
     return made
 
 
-def links(classes: DataFrame, radius: int = 4, count: int = 3) -> DataFrame:
-    """classes: distinct fp. Returns verified links u, v with the same components as all
-    links of at most `radius` bits (a link may come more than once)."""
-    plan = segments(radius, count)
-    starts = np.array([low for low, _, _ in plan], np.uint64)
-    masks = np.array([(1 << width) - 1 for _, width, _ in plan], np.uint64)
-
-    def emit(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    def met(place: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of whole places, sorted by place."""
-        cuts = np.flatnonzero(np.diff(place)) + 1
-        sizes = np.diff(np.concatenate(([0], cuts, [len(place)])))
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        segment = (place >> np.int64(48)).astype(np.int64)
-        entered = (fp >> starts[segment]) & masks[segment] == (place & np.int64((1 << 48) - 1)).view(np.uint64)
-        useful = (sizes > 1) & (np.bincount(which, entered, len(sizes)) > 0)
-        small = useful & (sizes <= FEW)
-        keep = small[which]
-        f, w = fp[keep], which[keep]
-        for gap in range(1, FEW):
-            if len(f) <= gap:
-                break
-            same = w[gap:] == w[:-gap]
-            if not same.any():
-                break
-            near = same & (np.bitwise_count(f[gap:] ^ f[:-gap]) <= radius)
-            if near.any():
-                yield emit(f[:-gap][near], f[gap:][near])
-        begins = np.concatenate(([0], cuts))
-        for i in np.flatnonzero(useful & ~small):
-            for node, reached in _links(np.unique(fp[begins[i] : begins[i] + sizes[i]]), radius):
-                yield emit(np.full(len(reached), node, np.uint64), reached)
+def met(place: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, entered: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among rows of whole places, sorted by place. A place where nothing is entered
+    (rows only probe) is passed over."""
+    cuts = np.flatnonzero(np.diff(place)) + 1
+    begins = np.concatenate(([0], cuts))
+    sizes = np.diff(np.append(begins, len(place)))
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    useful = sizes > 1
+    if entered is not None:
+        useful &= np.bincount(which, entered, len(sizes)) > 0
+    small = useful & (sizes <= FEW)
+    keep = small[which]
+    f, n, w = fp[keep], node[keep], which[keep]
+    for gap in range(1, FEW):
+        same = np.flatnonzero(w[gap:] == w[:-gap]) if len(f) > gap else np.zeros(0, int)
+        if not len(same):
+            break
+        near = same[apart(f[same + gap], f[same]) <= radius]
+        if len(near):
+            yield n[near], n[near + gap]
+    for i in np.flatnonzero(useful & ~small):
+        here = slice(begins[i], begins[i] + sizes[i])
+        for at, reached in _links(fp[here], radius):
+            yield np.full(len(reached), node[here][at]), node[here][reached]
+
+
+def linked(rows: DataFrame, radius: int, own: list[tuple[int, int]] | None = None) -> DataFrame:
+    """rows: place, node and the fingerprint's words (none: the node is the fingerprint).
+    Returns verified links u, v between nodes with the same components as all links within
+    places; a link may come more than once. own: (lowest bit, width) of the segments that
+    the high bits of place number, to tell entries from probes."""
+    words = len(rows.columns) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        def links(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            place, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            entered = None
+            if own:
+                segment = (place >> np.int64(48)).astype(np.int64)
+                low, width = (np.array(x, np.uint64) for x in zip(*own, strict=True))
+                value = (fp >> low[segment]) & ((np.uint64(1) << width[segment]) - np.uint64(1))
+                entered = value == (place & np.int64((1 << 48) - 1)).view(np.uint64)
+            for u, v in met(place, node, fp, radius, entered):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        held: list[tuple] = []
         for batch in batches:
-            place, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            fp = fp.view(np.uint64)
-            if not len(place):
+            if not batch.num_rows:
                 continue
-            last = np.searchsorted(place, place[-1])  # the last place may go on in the next batch
+            place, node, *wide = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fp = np.stack([x.view(np.uint64) for x in wide], axis=1) if words else node.view(np.uint64)
+            last = int(np.searchsorted(place, place[-1]))  # the last place may go on in the next batch
             if last == 0 and (not held or held[-1][0][-1] == place[0]):
-                held.append((place, fp))
+                held.append((place, node, fp))
                 continue
-            held.append((place[:last], fp[:last]))
-            yield from met(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            held = [(place[last:], fp[last:])]
+            held.append((place[:last], node[:last], fp[:last]))
+            yield from links(held)
+            held = [(place[last:], node[last:], fp[last:])]
         if held:
-            yield from met(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            yield from links(held)
 
-    rows = classes.select(F.explode(places(F.col("fp"), radius, count)).alias("place"), "fp")
     return rows.repartition(F.col("place")).sortWithinPartitions("place").mapInArrow(run, "u long, v long")
 
 
+def links(classes: DataFrame, radius: int = 4, count: int = 3) -> DataFrame:
+    """classes: distinct fp. Verified links of at most `radius` bits."""
+    rows = classes.select(F.explode(places(F.col("fp"), radius, count)).alias("place"), F.col("fp").alias("node"))
+    return linked(rows, radius, [(low, width) for low, width, _ in segments(radius, count)])
+
+
 def cluster(prints: DataFrame, radius: int = 4, count: int = 3, key: str = "doc_id") -> DataFrame:
     """prints: key, fp (a table; read more than once). Adds component_id: the least key
     that is reachable over links of at most `radius` bits, the row's own included."""
@@ -208,3 +231,82 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, count: int
     prints = materialize(fingerprints(docs, key, text, width, seed), "fingerprints")
     found = cluster(prints, radius, count, key)
     return found.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Words of 64 bits in the fingerprints of `one_of_each`.
+WIDE = 4
+
+
+def wide_fingerprint(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """As fingerprint, of WIDE * 64 bits, over the set of shingles."""
+    joined, begins, ends = shingles(text, width)
+    if not begins:
+        return np.zeros(WIDE, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, ends, strict=True)), np.uint64, len(begins)))
+    n, counts = len(hashes), np.zeros(64 * WIDE, np.int64)
+    salts = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, 1 << 14):
+        more = (hashes[at : at + (1 << 14), None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
+        more = (more ^ (more >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        more ^= more >> np.uint64(29)
+        counts += np.unpackbits(more.view(np.uint8).reshape(len(more), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(counts * 2 > n, bitorder="little").view("<u8")
+
+
+def plan_tables(similarity: float, classes: int, recall: float = 0.97, slack: float = 1.25) -> tuple[int, int, int]:
+    """Radius, bits per table and tables for sets of a Jaccard similarity.
+
+    Sets of similarity s have cosine 2 s / (1 + s), so a bit differs with probability
+    p = acos(cosine) / pi; the radius is `slack` standard deviations above its mean. A
+    table's bits grow with the logarithm of the classes, so places stay small at any size."""
+    bits = 64 * WIDE
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+    width = max(16, min(40, classes.bit_length() - 2))
+    return radius, width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
+    """The rows of docs, all columns, that stay when one document is left of each group of
+    near duplicates: the one of least key, then of least hash of its text.
+
+    Groups are components of links between fingerprints of WIDE * 64 bits over the set of
+    `width`-word shingles, at the distance that `similarity` implies. That is too far for
+    balls around a few segments, so each class is entered in many tables of sampled bits
+    (balls of radius 0); what meets there is verified on all bits. docs is read twice.
+    """
+    names = [f"f{i}" for i in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t.as_py(), width, seed) for t in batch.column(2)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in found.T)], names=["key", "hash", *names])
+
+    slim = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("hash"), F.col(text).cast("string").alias("text"))
+    prints = slim.mapInArrow(run, "key long, hash long, " + ", ".join(f"{n} long" for n in names))
+    classes = materialize(prints.groupBy(*names).agg(F.min(F.struct("key", "hash")).alias("best")).withColumn("node", F.xxhash64(*names)), "wide-classes")
+    radius, bits, tables = plan_tables(similarity, classes.count())
+    rng = np.random.default_rng(seed)
+    chosen = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                columns = [c.to_numpy(zero_copy_only=False) for c in some.columns]
+                all_bits = np.unpackbits(np.stack(columns[1:], axis=1).view(np.uint8), axis=1, bitorder="little")
+                for number, own in enumerate(chosen):
+                    place = all_bits[:, own] @ weights + (number << 48)
+                    yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(c) for c in columns)], names=["place", "node", *names])
+
+    entered = classes.select("node", *names).mapInArrow(enter, "place long, node long, " + ", ".join(f"{n} long" for n in names))
+    stars = components(linked(entered, radius))
+    stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    rooted = classes.select("node", "best").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_key"), F.col("best.hash").alias("_hash"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_text"))
+    kept = rows.join(stay, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_hash")))
+    first = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_own", "_text").orderBy(F.lit(0))))
+    return first.where("_rank = 1").select("_row.*")
