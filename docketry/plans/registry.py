@@ -4,7 +4,372 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docketry.functions import names
+from docketry.functions import text as T
+from docketry.functions.citations import citations
+from docketry.functions.constants import REPORTER_SLUGS, SIGNALS
+from docketry.operators import annotate, layout, propose, report, resolve, sections, verify
+from docketry.sources.views import in_duckdb, in_spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = in_duckdb(sql)
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Matching form in DuckDB: the ASCII variant of text.matching_text.
+MATCHING = r"""lower(trim(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(translate(trim(regexp_replace({0}, '\s+', ' ', 'g')), '“”‘’', '""'''''),
+  '\.{{3,}}', '...', 'g'), '\s*\.\.\.\s*', ' ... ', 'g'), '\[[^\]]*\]', '', 'g'), '–—', '--'), '\s+', ' ', 'g')))"""
+
+
+@query(
+    "quote_verification",
+    f"""SELECT item_id, doc_id FROM (SELECT item_id, {MATCHING.format("text")} AS q FROM {{benchmark}}) JOIN (SELECT doc_id, {MATCHING.format("text")} AS t FROM {{documents}}) ON contains(t, q)
+    WHERE q <> ''""",
+)
+def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts hold which quotations verbatim."""
+    return verify.verify_anywhere(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+
+
+@query(
+    "quote_verification_keyed",
+    rf"""SELECT doc_id, quality, coalesce(contains(t, q) OR contains(regexp_replace(t, '[^\w\s]', '', 'g'), regexp_replace(q, '[^\w\s]', '', 'g')), false) AS found FROM (
+    SELECT doc_id, quality, {MATCHING.format("text")} AS t, {MATCHING.format("substr(text, 11, 60)")} AS q FROM {{labels}} JOIN {{documents}} USING (doc_id))""",
+)
+def quote_verification_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotations of labelled documents against the documents of the same key."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    quotes = _table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "quality", F.substring("text", 11, 60).alias("quote"))
+    return quotes.join(docs, "doc_id").select("doc_id", "quality", F.coalesce(verify.occurs(F.col("quote"), F.col("text"), unicode=False), F.lit(False)).alias("found"))
+
+
+@query(
+    "html_to_text",
+    "SELECT page_id, trim(regexp_replace(" + "replace(" * len(T.ENTITIES) + r"regexp_replace(html, '<[^>]+>', ' ', 'g')" + "".join(", '{}', '{}')".format(k, v.replace("'", "''")) for k, v in T.ENTITIES.items()) + r", '\s+', ' ', 'g')) AS text FROM {pages}",
+)
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html"), unicode=False).alias("text"))
+
+
+@query(
+    "text_normalise",
+    rf"""SELECT doc_id, {MATCHING.format("text")} AS matching, regexp_replace({MATCHING.format("text")}, '[^\w\s]', '', 'g') AS bare,
+    regexp_replace(regexp_replace(regexp_replace(text, '[–—]', ' -- ', 'g'), '\s+', ' ', 'g'), '__+', '', 'g') AS recogniser,
+    trim(regexp_replace(regexp_replace(text, '(\w+)-\s+(\w+)', '\1\2', 'g'), '\s+', ' ', 'g')) AS joined FROM {{documents}}""",
+)
+def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, m = F.col("text"), T.matching_text(F.col("text"), unicode=False)
+    return _table(spark, sf_dir, "documents").select("doc_id", m.alias("matching"), T.unpunctuated(m, unicode=False).alias("bare"), T.recogniser_text(t, unicode=False).alias("recogniser"), T.join_hyphens(t, unicode=False).alias("joined"))
+
+
+_QUOTED = """concat('see "', substr(text, 1, 30 + CAST(doc_id % 40 AS INT)), '" and ', substr(text, 40, 60))"""
+
+
+@query(
+    "quotation_detect",
+    rf"""SELECT doc_id, len(q) AS n_quotes, regexp_matches(t, '["“][^"”]{{{{15,}}}}["”]') AS has_quotation, coalesce(list_sum(list_transform(q, lambda x: length(x))), 0) / greatest(length(t), 1) > 0.4 AS is_quote FROM (
+    SELECT doc_id, t, regexp_extract_all(t, '["“”]([^"“”]+)["“”]', 1) AS q FROM (SELECT doc_id, {_QUOTED} AS t FROM {{documents}}))""".replace("{{15,}}", "{15,}"),
+)
+def quotation_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("t")
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_QUOTED} AS t").select("doc_id", F.size(T.quotations(t)).cast("long").alias("n_quotes"), T.has_quotation(t).alias("has_quotation"), T.is_quote(t, F.lit("statement")).alias("is_quote"))
+
+
+_SIGNALLED = "concat('The rule holds. ', CASE o_orderkey % 13 " + " ".join(f"WHEN {i} THEN '{s.capitalize()}'" for i, s in enumerate(SIGNALS)) + " ELSE 'none' END, '  ')"
+
+
+@query(
+    "signal_extract",
+    "SELECT o_orderkey, CASE " + " ".join(f"WHEN ends_with(s, '{x}') THEN '{x}'" for x in sorted(SIGNALS, key=lambda s: -len(s))) + f" END AS signal FROM (SELECT o_orderkey, lower(rtrim(right({_SIGNALLED}, 30))) AS s FROM {{orders}})",
+)
+def signal_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_SIGNALLED} AS t").select("o_orderkey", T.signal_before(F.col("t")).alias("signal"))
+
+
+_NAMES = """SELECT c_custkey, concat(CASE c_custkey % 4 WHEN 0 THEN 'State of ' WHEN 1 THEN 'Anna Maria ' ELSE '' END, replace(c_name, '#', ' '), ' v. ', CASE c_custkey % 3 WHEN 0 THEN 'The ' WHEN 1 THEN 'John ' ELSE '' END, replace(s_name, '#', ' '),
+  CASE c_custkey % 5 WHEN 0 THEN ', Warden' ELSE '' END) AS name FROM {customer} JOIN {supplier} ON s_suppkey = 1 + c_custkey % 10"""
+
+
+@query(
+    "case_name_normalise",
+    rf"""SELECT c_custkey, name, concat(CASE WHEN strpos(p, ' ') > 0 AND lower(split_part(p, ' ', 1)) NOT IN ('united', 'people', 'state', 'commonwealth', 'in') THEN string_split(p, ' ')[-1] ELSE p END, ' v. ',
+    CASE WHEN strpos(d, ' ') > 0 AND lower(split_part(d, ' ', 1)) NOT IN ('the', 'state', 'united', 'people', 'commonwealth') THEN string_split(d, ' ')[-1] ELSE d END) AS compared FROM (
+    SELECT c_custkey, name, split_part(name, ' v. ', 1) AS p, split_part(split_part(name, ' v. ', 2), ',', 1) AS d FROM ({_NAMES}))""",
+)
+def case_name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_spark(spark, sf_dir, _NAMES).select("c_custkey", "name", names.compared_name(F.col("name"), unicode=False).alias("compared"))
+
+
+@query(
+    "reporter_paths",
+    "SELECT brief_id, seq, CASE reporter " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REPORTER_SLUGS.items()) + """ END AS slug,
+    concat('cases/' || CASE reporter WHEN 'S.W.3d' THEN 'sw3d' WHEN 'F.2d' THEN 'f2d' ELSE 'us' END, '/', volume, '/json/', CASE WHEN length(page) < 4 THEN lpad(page, 4, '0') ELSE page END, '-01.json') AS path
+    FROM ({citations}) WHERE cite_type IN ('full_case', 'short_case')""",
+)
+def reporter_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cites = in_spark(spark, sf_dir, "SELECT * FROM ({citations}) WHERE cite_type IN ('full_case', 'short_case')")
+    return cites.select("brief_id", "seq", names.reporter_slug(F.col("reporter")).alias("slug"), names.case_path("cases", F.col("volume"), F.col("reporter"), F.col("page"), "json").alias("path"))
+
+
+_LOOKED = """SELECT c.*, CASE WHEN cite_type = 'full_case' THEN r.record END AS record, CASE WHEN cite_type = 'full_case' THEN r.start_page END AS start_page
+  FROM ({citations}) c LEFT JOIN ({records}) r USING (volume, reporter, page)"""
+_SHORT = f"""SELECT * REPLACE (CASE WHEN cite_type = 'short_case' THEN last_value(CASE WHEN cite_type = 'full_case' THEN record END IGNORE NULLS)
+  OVER (PARTITION BY brief_id, volume, reporter ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE record END AS record) FROM ({_LOOKED})"""
+_ROWS = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _cites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return in_spark(spark, sf_dir, "SELECT * FROM ({citations})"), in_spark(spark, sf_dir, "SELECT * FROM ({records})")
+
+
+def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cites, records = _cites(spark, sf_dir)
+    return resolve.attach_records(cites, records)
+
+
+@query("citation_lookup", f"SELECT brief_id, seq, cite_type, record FROM ({_LOOKED})")
+def citation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _looked_up(spark, sf_dir).select("brief_id", "seq", "cite_type", "record")
+
+
+@query("short_cite_asof", f"SELECT brief_id, seq, record FROM ({_SHORT}) WHERE cite_type = 'short_case'")
+def short_cite_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.short_as_of(_looked_up(spark, sf_dir)).where("cite_type = 'short_case'").select("brief_id", "seq", "record")
+
+
+@query(
+    "short_cite_propagate",
+    f"""SELECT brief_id, seq, CASE WHEN record IS NULL AND (f.start IS NULL OR page IS NULL OR TRY_CAST(page AS INT) >= f.start) THEN f.record ELSE record END AS record FROM (
+    SELECT *, last_value(CASE WHEN cite_type = 'full_case' THEN {{'record': record, 'start': start_page}} END IGNORE NULLS) OVER (PARTITION BY brief_id, volume, reporter ORDER BY seq {_ROWS}) AS f
+    FROM ({_SHORT})) WHERE cite_type = 'short_case'""",
+)
+def short_cite_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cites, records = _cites(spark, sf_dir)
+    looked = resolve.attach_records(cites, records).join(records.select(*resolve.KEY, "start_page"), list(resolve.KEY), "left").withColumn("start_page", F.when(F.col("cite_type") == "full_case", F.col("start_page")))
+    return resolve.propagate_short(resolve.short_as_of(looked)).where("cite_type = 'short_case'").select("brief_id", "seq", "record")
+
+
+@query(
+    "id_carry",
+    f"""SELECT brief_id, seq, CASE WHEN cite_type IN ('id', 'supra') THEN last_value(record IGNORE NULLS) OVER w ELSE record END AS record,
+    cite_type IN ('id', 'supra') AND coalesce(last_value(CASE WHEN cite_type = 'full_case' THEN seq END IGNORE NULLS) OVER w > last_value(CASE WHEN record IS NOT NULL THEN seq END IGNORE NULLS) OVER w, false) AS ambiguous,
+    CASE WHEN cite_type = 'id' THEN last_value(CASE WHEN cite_type = 'full_case' THEN page END IGNORE NULLS) OVER w END AS refers_to
+    FROM ({_SHORT}) WINDOW w AS (PARTITION BY brief_id ORDER BY seq {_ROWS})""",
+)
+def id_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = resolve.refers_to(resolve.carried(resolve.short_as_of(_looked_up(spark, sf_dir))), "page")
+    return done.select("brief_id", "seq", "record", "ambiguous", "refers_to")
+
+
+@query(
+    "pin_carry",
+    f"""SELECT brief_id, seq, CASE WHEN cite_type = 'id' AND known AND (TRY_CAST(pin_cite AS INT) IS NULL OR s IS NULL OR TRY_CAST(pin_cite AS INT) BETWEEN s AND s + 20) THEN r ELSE record END AS record,
+    CASE WHEN cite_type = 'id' AND known THEN coalesce(pin_cite, (last_value(CASE WHEN a THEN {{'pin': coalesce(pin_cite, page)}} WHEN cite_type = 'id' AND known AND pin_cite IS NOT NULL THEN {{'pin': pin_cite}} END IGNORE NULLS)
+      OVER (PARTITION BY brief_id ORDER BY seq {_ROWS})).pin) ELSE pin_cite END AS pin_cite FROM (
+    SELECT *, last_value(CASE WHEN a THEN record END IGNORE NULLS) OVER w AS r, (last_value(CASE WHEN a THEN {{'s': start_page}} END IGNORE NULLS) OVER w).s AS s, coalesce(bool_or(a) OVER w, false) AS known FROM (
+      SELECT *, cite_type IN ('full_case', 'short_case') AND record IS NOT NULL AS a FROM ({_SHORT})) WINDOW w AS (PARTITION BY brief_id ORDER BY seq {_ROWS}))""",
+)
+def pin_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cites, records = _cites(spark, sf_dir)
+    looked = resolve.attach_records(cites, records).join(records.select(*resolve.KEY, "start_page"), list(resolve.KEY), "left").withColumn("start_page", F.when(F.col("cite_type") == "full_case", F.col("start_page")))
+    return resolve.propagate_id(resolve.short_as_of(looked)).select("brief_id", "seq", "record", "pin_cite")
+
+
+_STRINGS = "SELECT *, cite_type = 'supra' AS is_string_cite, CASE WHEN cite_type <> 'supra' THEN concat('p', CAST(seq AS STRING)) ELSE '' END AS proposition FROM ({citations})"
+
+
+@query(
+    "string_cite_groups",
+    f"""SELECT brief_id, seq, sum(CASE WHEN is_string_cite THEN 0 ELSE 1 END) OVER (PARTITION BY brief_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS string_cite_group,
+    CASE WHEN NOT is_string_cite THEN proposition ELSE last_value(CASE WHEN NOT is_string_cite THEN proposition END IGNORE NULLS) OVER (PARTITION BY brief_id ORDER BY seq {_ROWS}) END AS proposition FROM ({_STRINGS})""",
+)
+def string_cite_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.string_groups(in_spark(spark, sf_dir, _STRINGS)).select("brief_id", "seq", "string_cite_group", "proposition")
+
+
+@query("previous_unit", "SELECT conv_id AS brief_id, turn AS unit_seq, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM {conversations}")
+def previous_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("brief_id"), F.col("turn").alias("unit_seq"), "text")
+    return propose.previous_text(units).select("brief_id", "unit_seq", "previous")
+
+
+_MARGINS = """SELECT brief_id, min(edge) AS body_margin, CASE WHEN count(*) = 1 THEN min(edge) + 36.0 ELSE max(edge) END AS para_indent FROM (
+  SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY n DESC, first) AS rank FROM (
+    SELECT brief_id, round_even(x0, 0) AS edge, count(*) AS n, min(block_no) AS first FROM ({blocks}) WHERE length(trim(text)) > 30 GROUP BY 1, 2)) WHERE rank <= 2 GROUP BY brief_id"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_spark(spark, sf_dir, "SELECT *, x0 + 400 AS x1, y0 + 10 AS y1 FROM ({blocks})").withColumns({c: F.col(c).cast("double") for c in ("x0", "x1")})
+
+
+@query("margins", f"SELECT brief_id, body_margin::DOUBLE AS body_margin, para_indent::DOUBLE AS para_indent FROM ({_MARGINS})")
+def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.margins(_blocks(spark, sf_dir))
+
+
+_FIXED = "SELECT *, 72.0 AS body_margin FROM ({blocks})"
+
+
+@query(
+    "block_quote_islands_a",
+    f"""SELECT brief_id, count(*) AS blocks, min(page_num) AS start_page, max(page_num) AS end_page, string_agg(text, ' ' ORDER BY block_no) AS text FROM (
+    SELECT *, n - row_number() OVER (PARTITION BY brief_id ORDER BY block_no) AS run FROM (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY block_no) AS n FROM ({_FIXED})) WHERE x0 > body_margin + 3)
+    GROUP BY brief_id, run HAVING count(*) >= 2""",
+)
+def block_quote_islands_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.quote_runs(_blocks(spark, sf_dir).withColumn("body_margin", F.lit(72.0))).drop("run")
+
+
+@query(
+    "paragraph_islands_b",
+    f"""SELECT brief_id, block_no, (sum(CASE WHEN pq IS NULL OR q <> pq OR (hot AND NOT q AND nxt) THEN 1 ELSE 0 END) OVER (PARTITION BY brief_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1)::INT AS para_idx,
+    CASE WHEN q THEN 'block_quote' ELSE 'body' END AS kind FROM (SELECT *, lag(q) OVER (PARTITION BY brief_id ORDER BY block_no) AS pq FROM (
+      SELECT *, coalesce(hot AND lag(hot) OVER w, false) OR coalesce(hot AND lead(hot) OVER w, false) AS q,
+      coalesce(first_value(CASE WHEN NOT (ind > 10 AND ind <= 25) THEN hot END IGNORE NULLS) OVER (PARTITION BY brief_id ORDER BY block_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS nxt
+      FROM (SELECT *, x0 - body_margin AS ind, x0 - body_margin > 25 AS hot FROM ({_FIXED})) WINDOW w AS (PARTITION BY brief_id ORDER BY block_no)))""",
+)
+def paragraph_islands_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.paragraph_ids(_blocks(spark, sf_dir).withColumn("body_margin", F.lit(72.0))).select("brief_id", "block_no", "para_idx", "kind")
+
+
+_UNITS = "SELECT conv_id AS brief_id, turn AS unit_seq, 'body' AS kind, text, CAST(NULL AS STRING) AS intro FROM {conversations}"
+_TURN_CITES = """SELECT conv_id AS brief_id, turn AS unit_seq, conv_id * 100 + turn AS seq, CAST(10 + (conv_id + turn) % 30 AS INT) AS start, CAST(40 + turn AS INT) AS end_, CASE WHEN turn % 2 = 0 THEN 'see' END AS signal,
+  CASE WHEN turn % 3 = 0 THEN 'holding so' END AS parenthetical FROM {conversations} WHERE turn % 2 = 0 OR turn % 3 = 0"""
+
+
+@query(
+    "propositions",
+    rf"""SELECT brief_id, unit_seq, rank, text, type FROM (
+    SELECT brief_id, unit_seq, 1 AS rank, CASE WHEN length(b) >= 20 THEN b WHEN prev <> '' THEN prev ELSE nullif(b, '') END AS text,
+      CASE WHEN length(b) < 20 AND coalesce(prev, '') = '' THEN 'statement' WHEN regexp_matches(CASE WHEN length(b) >= 20 THEN b ELSE prev END, '["“][^"”]{{15,}}["”]') THEN 'quote' ELSE 'statement' END AS type FROM (
+      SELECT *, regexp_replace(trim(substr(text, 1, start)), '[.,;:\-–\s]+$', '') AS b FROM (SELECT *, lag(text) OVER (PARTITION BY brief_id ORDER BY unit_seq) AS prev FROM ({_UNITS})) JOIN ({_TURN_CITES}) USING (brief_id, unit_seq))
+    UNION ALL SELECT brief_id, unit_seq, 0, parenthetical, 'parenthetical' FROM ({_TURN_CITES}) WHERE signal IS NOT NULL AND parenthetical IS NOT NULL) WHERE text IS NOT NULL""".replace("{{15,}}", "{15,}"),
+)
+def propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cites = in_spark(spark, sf_dir, _TURN_CITES).withColumnRenamed("end_", "end")
+    made = propose.propositions(in_spark(spark, sf_dir, _UNITS), cites)
+    unit = F.element_at("citations", 1)["seq"]
+    return made.select("brief_id", (unit - F.col("brief_id") * 100).alias("unit_seq"), F.when(F.col("type") == "parenthetical", 0).otherwise(1).alias("rank"), "text", "type")
+
+
+_PROPS = "SELECT o_custkey AS brief_id, o_orderkey AS prop_seq, concat('the court held that ', o_orderpriority) AS text, o_orderstatus AS type FROM {orders}"
+
+
+@query("consolidate", f"SELECT brief_id, min(prop_seq) AS prop_seq, text, arg_min(type, prop_seq) AS type, count(*) AS n_citations, string_agg(CAST(prop_seq AS STRING), ',' ORDER BY prop_seq) AS cited FROM ({_PROPS}) GROUP BY brief_id, text")
+def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = in_spark(spark, sf_dir, _PROPS).withColumn("citations", F.array(F.col("prop_seq").cast("string")))
+    return propose.consolidate(props).select("brief_id", "prop_seq", "text", "type", F.size("citations").cast("long").alias("n_citations"), F.array_join("citations", ",").alias("cited"))
+
+
+_LISTED = "SELECT DISTINCT l_orderkey AS brief_id, concat('A', CAST(l_suppkey % 7 AS STRING), ' v. B') AS case_name FROM {lineitem} WHERE l_linenumber <= 3 AND l_orderkey % 5 <> 0"
+_ARGUED = "SELECT DISTINCT l_orderkey AS brief_id, concat(CASE WHEN l_suppkey % 2 = 0 THEN 'Ann ' ELSE '' END, 'A', CAST(l_suppkey % 7 AS STRING), ' v. B') AS case_name FROM {lineitem} WHERE l_linenumber >= 2"
+
+
+@query(
+    "toa_compare",
+    f"""WITH l AS ({_LISTED}), a AS ({_ARGUED}), k AS (SELECT brief_id FROM l UNION SELECT brief_id FROM a)
+    SELECT k.brief_id, (SELECT count(*) FROM l WHERE l.brief_id = k.brief_id) AS toa_case_count, (SELECT count(*) FROM a WHERE a.brief_id = k.brief_id) AS argument_case_count,
+    coalesce((SELECT string_agg(DISTINCT replace(case_name, 'Ann ', ''), '|' ORDER BY replace(case_name, 'Ann ', '')) FROM l WHERE l.brief_id = k.brief_id), '') = coalesce((SELECT string_agg(DISTINCT replace(case_name, 'Ann ', ''), '|' ORDER BY replace(case_name, 'Ann ', '')) FROM a WHERE a.brief_id = k.brief_id), '') AS cases_match,
+    coalesce((SELECT string_agg(case_name, '|' ORDER BY case_name) FROM (SELECT case_name FROM l WHERE l.brief_id = k.brief_id EXCEPT SELECT case_name FROM a WHERE a.brief_id = k.brief_id)), '') AS only_toa,
+    coalesce((SELECT string_agg(case_name, '|' ORDER BY case_name) FROM (SELECT case_name FROM a WHERE a.brief_id = k.brief_id EXCEPT SELECT case_name FROM l WHERE l.brief_id = k.brief_id)), '') AS only_argument FROM k""",
+)
+def toa_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = report.compare_authorities(in_spark(spark, sf_dir, _LISTED), in_spark(spark, sf_dir, _ARGUED), unicode=False)
+    return done.select("brief_id", F.col("toa_case_count").cast("long").alias("toa_case_count"), F.col("argument_case_count").cast("long").alias("argument_case_count"), "cases_match", F.array_join("only_toa", "|").alias("only_toa"), F.array_join("only_argument", "|").alias("only_argument"))
+
+
+_PATHS = "SELECT *, CASE WHEN cite_type <> 'supra' THEN CAST(brief_id * 10 + coalesce(TRY_CAST(page AS INT), 0) % 3 AS BIGINT) END AS cluster_id, CASE WHEN TRY_CAST(page AS INT) % 5 <> 0 THEN concat('p', page) END AS json_path FROM ({citations})"
+_FILES = "SELECT DISTINCT concat('p', page) AS path FROM ({citations}) WHERE TRY_CAST(page AS INT) % 2 = 0"
+
+
+@query(
+    "path_stats",
+    f"""SELECT brief_id, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in resolve.STATUSES)} FROM (
+    SELECT brief_id, CASE WHEN cluster_id IS NULL THEN 'no_record' WHEN row_number() OVER (PARTITION BY brief_id, cluster_id ORDER BY seq) > 1 THEN 'processed' WHEN json_path IS NULL THEN 'no_path' WHEN path IS NULL THEN 'missing' ELSE 'found' END AS status
+    FROM ({_PATHS}) LEFT JOIN ({_FILES}) ON path = json_path) GROUP BY brief_id""",
+)
+def path_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.path_stats(resolve.path_status(in_spark(spark, sf_dir, _PATHS), in_spark(spark, sf_dir, _FILES)))
+
+
+_VERDICTS = "SELECT l_orderkey AS brief_id, CASE l_returnflag WHEN 'A' THEN 'verified' WHEN 'R' THEN 'failed' ELSE 'uncertain' END AS result FROM {lineitem}"
+
+
+@query("validation_summary", f"SELECT brief_id, {', '.join(f'''count(*) FILTER (result = '{r}') AS {r}''' for r in report.RESULTS)}, count(*) AS total FROM ({_VERDICTS}) GROUP BY brief_id")
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.validation_summary(in_spark(spark, sf_dir, _VERDICTS))
+
+
+@query(
+    "validate_labels",
+    f"""SELECT doc_id, CASE WHEN quality = 1 AND contains({MATCHING.format("text")}, {MATCHING.format("substr(text, 11, 60)")}) THEN 'verified' ELSE 'uncertain' END AS result FROM {{labels}} JOIN {{documents}} USING (doc_id)""",
+)
+def validate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cases: those of good quality are cited by a quotation, others by none."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(_table(spark, sf_dir, "labels"), "doc_id")
+    quoted = docs.withColumn("found", F.coalesce(verify.occurs(F.substring("text", 11, 60), F.col("text"), unicode=False), F.lit(False)))
+    return quoted.select("doc_id", F.when((F.col("quality") == 1) & F.col("found"), "verified").otherwise("uncertain").alias("result"))
+
+
+_USERS = "SELECT c_custkey AS user_id, concat(lower(c_name), '@example.org') AS email FROM {customer}"
+_BRIEFS = "SELECT o_orderkey AS brief_id, o_custkey AS user_id, concat('brief-', CAST(o_orderkey AS STRING), '.pdf') AS filename, o_orderdate AS uploaded_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS processed_at FROM {orders}"
+
+
+@query("user_briefs", f"SELECT brief_id, filename, uploaded_at, processed_at IS NOT NULL AS processed FROM ({_BRIEFS}) WHERE user_id IN (SELECT user_id FROM ({_USERS}) WHERE email = (SELECT min(email) FROM ({_USERS}) WHERE user_id IN (SELECT user_id FROM ({_BRIEFS}))))")
+def user_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users, briefs = in_spark(spark, sf_dir, _USERS), in_spark(spark, sf_dir, _BRIEFS)
+    first = users.join(briefs, "user_id", "left_semi").agg(F.min("email").alias("_email"))
+    return report.user_briefs(users.join(F.broadcast(first), F.col("email") == F.col("_email")).drop("_email"), briefs, F.col("email"))
+
+
+@query("sentence_split")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence"))
+
+
+@query("citation_recogniser")
+def citation_recogniser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in texts made from orders and customers."""
+    made = "concat('See ', replace(c_name, 'Customer#', 'Doe'), ' v. State, ', CAST(o_orderkey % 600 AS STRING), ' S.W.3d ', CAST(o_custkey AS STRING), ', ', CAST(o_custkey + 3 AS STRING), ' (Tex. 2001) (holding that (so) it is). Id. at 7.') AS t"
+    rows = in_spark(spark, sf_dir, f"SELECT o_orderkey, {made} FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey")
+    return rows.select("o_orderkey", F.explode(citations(F.col("t"))).alias("c")).select("o_orderkey", "c.*")
+
+
+@query(
+    "section_ranges",
+    "SELECT conv_id AS brief_id, min(turn) FILTER (role = 'user') AS start_page, coalesce(min(turn) FILTER (role = 'assistant' AND turn >= s), max(turn)) AS end_page FROM (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS s FROM {conversations}) WHERE s IS NOT NULL GROUP BY conv_id",
+)
+def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pages that are headed by their role."""
+    pages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("brief_id"), F.col("turn").alias("page_num"), F.concat(F.col("role"), F.lit("\n"), F.translate("text", "\n", " ")).alias("text"))
+    return sections.find_sections(pages, "user", ["assistant"]).select("brief_id", "start_page", "end_page")
+
+
+@query("underlines", "SELECT brief_id, page_num, x0, x1, y1 + o AS y, kind FROM (SELECT brief_id, page_num, x0::DOUBLE AS x0, (x0 + 400)::DOUBLE AS x1, (y0 + 10)::DOUBLE AS y1, CASE block_no % 2 WHEN 0 THEN 'statement' ELSE 'citation' END AS kind, unnest(CASE WHEN block_no % 3 = 0 THEN [1.0, 4.0] ELSE [1.0] END)::DOUBLE AS o FROM ({blocks}))")
+def underlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = _blocks(spark, sf_dir).withColumns({"kind": F.when(F.col("block_no") % 2 == 0, "statement").otherwise("citation"), "signalled": F.col("block_no") % 3 == 0})
+    return annotate.underlines(rects).select("brief_id", "page_num", "x0", "x1", "y", "kind")
+
+
+@query("work_once", "SELECT brief_id, cluster_id, min(seq) AS seq FROM (" + _PATHS + ") WHERE cluster_id IS NOT NULL GROUP BY brief_id, cluster_id")
+def work_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First occurrence of each cluster in a brief."""
+    first = Window.partitionBy("brief_id", "cluster_id").orderBy("seq")
+    rows = in_spark(spark, sf_dir, _PATHS).where("cluster_id IS NOT NULL")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("brief_id", "cluster_id", "seq")
