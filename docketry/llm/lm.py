@@ -35,7 +35,7 @@ from docketry.llm.base import materialize
 
 ALPHA = 0.4
 #: Words after which a batch is closed, between documents.
-WORDS = 400_000
+WORDS = 700_000
 #: Entries of one partition of the count table, about.
 ENTRIES = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
