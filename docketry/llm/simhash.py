@@ -85,13 +85,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
 
 def segments(radius: int, count: int) -> list[tuple[int, int, int]]:
-    """(lowest bit, width, radius) of each segment."""
+    """(lowest bit, width, radius) of each segment; bits beyond 48 of a segment are left
+    out, which keeps every link."""
     count = min(count, radius + 1)
     spare = radius + 1 - count
     found, at = [], 0
     for i in range(count):
         width = BITS // count + (i < BITS % count)
-        found.append((at, width, spare // count + (i < spare % count)))
+        found.append((at, min(width, 48), spare // count + (i < spare % count)))
         at += width
     return found
 
@@ -144,9 +145,10 @@ def _links(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
     return made
 
 
-def met(place: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, entered: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def met(place: np.ndarray, node: np.ndarray, fp: np.ndarray, radii: tuple[int, ...], entered: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among rows of whole places, sorted by place. A place where nothing is entered
-    (rows only probe) is passed over."""
+    (rows only probe) is passed over. radii: large places give a tree for each."""
+    radius = max(radii)
     cuts = np.flatnonzero(np.diff(place)) + 1
     begins = np.concatenate(([0], cuts))
     sizes = np.diff(np.append(begins, len(place)))
@@ -166,11 +168,12 @@ def met(place: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, entere
             yield n[near], n[near + gap]
     for i in np.flatnonzero(useful & ~small):
         here = slice(begins[i], begins[i] + sizes[i])
-        for at, reached in _links(fp[here], radius):
-            yield np.full(len(reached), node[here][at]), node[here][reached]
+        for near in radii:
+            for at, reached in _links(fp[here], near):
+                yield np.full(len(reached), node[here][at]), node[here][reached]
 
 
-def linked(rows: DataFrame, radius: int, own: list[tuple[int, int]] | None = None) -> DataFrame:
+def linked(rows: DataFrame, radii: tuple[int, ...], own: list[tuple[int, int]] | None = None) -> DataFrame:
     """rows: place, node and the fingerprint's words (none: the node is the fingerprint).
     Returns verified links u, v between nodes with the same components as all links within
     places; a link may come more than once. own: (lowest bit, width) of the segments that
@@ -186,7 +189,7 @@ def linked(rows: DataFrame, radius: int, own: list[tuple[int, int]] | None = Non
                 low, width = (np.array(x, np.uint64) for x in zip(*own, strict=True))
                 value = (fp >> low[segment]) & ((np.uint64(1) << width[segment]) - np.uint64(1))
                 entered = value == (place & np.int64((1 << 48) - 1)).view(np.uint64)
-            for u, v in met(place, node, fp, radius, entered):
+            for u, v in met(place, node, fp, radii, entered):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         held: list[tuple] = []
@@ -211,7 +214,7 @@ def linked(rows: DataFrame, radius: int, own: list[tuple[int, int]] | None = Non
 def links(classes: DataFrame, radius: int = 4, count: int = 3) -> DataFrame:
     """classes: distinct fp. Verified links of at most `radius` bits."""
     rows = classes.select(F.explode(places(F.col("fp"), radius, count)).alias("place"), F.col("fp").alias("node"))
-    return linked(rows, radius, [(low, width) for low, width, _ in segments(radius, count)])
+    return linked(rows, (radius,), [(low, width) for low, width, _ in segments(radius, count)])
 
 
 def cluster(prints: DataFrame, radius: int = 4, count: int = 3, key: str = "doc_id") -> DataFrame:
@@ -233,8 +236,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, count: int
     return found.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Words of 64 bits in the fingerprints of `one_of_each`.
-WIDE = 4
+#: Words of 64 bits in the fingerprints of `one_of_each`, and those that travel to its tables.
+WIDE, SHORT = 16, 4
 
 
 def wide_fingerprint(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -246,47 +249,57 @@ def wide_fingerprint(text: str | None, width: int, seed: int = 42) -> np.ndarray
     hashes = np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, ends, strict=True)), np.uint64, len(begins)))
     n, counts = len(hashes), np.zeros(64 * WIDE, np.int64)
     salts = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, n, 1 << 14):
-        more = (hashes[at : at + (1 << 14), None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
+    for at in range(0, n, 1 << 12):
+        more = (hashes[at : at + (1 << 12), None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
         more = (more ^ (more >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         more ^= more >> np.uint64(29)
         counts += np.unpackbits(more.view(np.uint8).reshape(len(more), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return np.packbits(counts * 2 > n, bitorder="little").view("<u8")
 
 
-def plan_tables(similarity: float, classes: int, recall: float = 0.97, slack: float = 1.25) -> tuple[int, int, int]:
-    """Radius, bits per table and tables for sets of a Jaccard similarity.
+def differing(similarity: float) -> float:
+    """Chance that a bit differs between sets of a Jaccard similarity: their cosine is
+    2 s / (1 + s), and the chance is the angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    Sets of similarity s have cosine 2 s / (1 + s), so a bit differs with probability
-    p = acos(cosine) / pi; the radius is `slack` standard deviations above its mean. A
-    table's bits grow with the logarithm of the classes, so places stay small at any size."""
-    bits = 64 * WIDE
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+def bound(similarity: float, bits: int, slack: float) -> int:
+    """Differing bits at that similarity: the mean and `slack` standard deviations."""
+    p = differing(similarity)
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def plan_tables(similarity: float, classes: int, recall: float = 0.985) -> tuple[int, int]:
+    """Bits of a table, and tables. A table's bits grow with the logarithm of the classes,
+    so places stay small at any size, and the tables grow to keep the recall."""
     width = max(16, min(40, classes.bit_length() - 2))
-    return radius, width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** width))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
     """The rows of docs, all columns, that stay when one document is left of each group of
     near duplicates: the one of least key, then of least hash of its text.
 
-    Groups are components of links between fingerprints of WIDE * 64 bits over the set of
+    Groups are components of links between SimHash fingerprints over the sets of
     `width`-word shingles, at the distance that `similarity` implies. That is too far for
     balls around a few segments, so each class is entered in many tables of sampled bits
-    (balls of radius 0); what meets there is verified on all bits. docs is read twice.
+    (balls of radius 0). What meets there is compared on SHORT * 64 bits with room for
+    their error, and what passes is verified on all WIDE * 64 bits (one standard deviation
+    of similarity is about 0.03 there). docs is read twice.
     """
-    names = [f"f{i}" for i in range(WIDE)]
+    names = [f"f{i}" for i in range(SHORT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), width, seed) for t in batch.column(2)], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in found.T)], names=["key", "hash", *names])
+            found = np.array([wide_fingerprint(t.as_py(), width, seed) for t in batch.column(2)], "<u8").reshape(-1, WIDE)
+            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T[:SHORT]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "hash", *names, "full"])
 
     slim = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("hash"), F.col(text).cast("string").alias("text"))
-    prints = slim.mapInArrow(run, "key long, hash long, " + ", ".join(f"{n} long" for n in names))
-    classes = materialize(prints.groupBy(*names).agg(F.min(F.struct("key", "hash")).alias("best")).withColumn("node", F.xxhash64(*names)), "wide-classes")
-    radius, bits, tables = plan_tables(similarity, classes.count())
+    prints = slim.mapInArrow(run, "key long, hash long, " + ", ".join(f"{n} long" for n in names) + ", full binary")
+    grouped = prints.groupBy(*names).agg(F.min(F.struct("key", "hash")).alias("best"), F.min("full").alias("full"))
+    classes = materialize(grouped.withColumn("node", F.xxhash64(*names)), "wide-classes")
+    bits, tables = plan_tables(similarity, classes.count())
     rng = np.random.default_rng(seed)
     chosen = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
 
@@ -295,14 +308,24 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
-                columns = [c.to_numpy(zero_copy_only=False) for c in some.columns]
-                all_bits = np.unpackbits(np.stack(columns[1:], axis=1).view(np.uint8), axis=1, bitorder="little")
+                full = np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+                all_bits = np.unpackbits(full, axis=1, bitorder="little")
                 for number, own in enumerate(chosen):
                     place = all_bits[:, own] @ weights + (number << 48)
-                    yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(c) for c in columns)], names=["place", "node", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(place), *some.columns[1:]], names=["place", "node", *names])
+
+    entered = classes.select("full", "node", *names).mapInArrow(enter, "place long, node long, " + ", ".join(f"{n} long" for n in names))
+    near = linked(entered, (bound(similarity, 64 * SHORT, 0.0), bound(similarity, 64 * SHORT, 2.0))).distinct()
+    most = bound(similarity, 64 * WIDE, 1.0)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, WIDE) for c in batch.columns[2:])
+            yield batch.filter(pa.array(apart(a, b) <= most)).select(["u", "v"])
 
-    entered = classes.select("node", *names).mapInArrow(enter, "place long, node long, " + ", ".join(f"{n} long" for n in names))
-    stars = components(linked(entered, radius))
+    side = lambda end: classes.select(F.col("node").alias(end), F.col("full").alias(f"full_{end}"))
+    both = near.join(side("u"), "u").join(side("v"), "v").select("u", "v", "full_u", "full_v")
+    stars = components(both.mapInArrow(verify, "u long, v long"))
     stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     rooted = classes.select("node", "best").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_key"), F.col("best.hash").alias("_hash"))
