@@ -65,7 +65,6 @@ def recognise(text: str | None) -> list[dict]:
     return found
 
 
-@F.pandas_udf(f"array<{CITATION}>")
 def _recognised(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(recognise)
@@ -73,7 +72,7 @@ def _recognised(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def citations(text: Column) -> Column:
     """Array of the citations of a text, in order."""
-    return _recognised(text)
+    return F.pandas_udf(_recognised, f"array<{CITATION}>")(text)
 
 
 def that_parenthetical(text: Column, end: Column, ahead: int = 200) -> Column:

@@ -90,5 +90,5 @@ def link_block_quotes(items: DataFrame, quotes: DataFrame, words: int = 10) -> D
     head = F.array_join(F.slice(F.split(T.collapse(F.col("text")), " "), 1, words), " ")
     found = items.join(quotes.select("brief_id", "bq_idx", head.alias("_head")), "brief_id").where((F.col("_head") != "") & F.contains(T.collapse(F.col("preceding_text")), F.col("_head")))
     first = found.groupBy("brief_id", "item_seq").agg(F.min_by(F.struct("bq_idx", "_head"), "bq_idx").alias("_bq"))
-    ahead = T.strip(F.substring_index(T.collapse(F.col("preceding_text")), F.col("_bq._head"), 1))
+    ahead = T.strip(F.call_function("substring_index", T.collapse(F.col("preceding_text")), F.col("_bq._head"), F.lit(1)))
     return items.join(first, ["brief_id", "item_seq"], "left").select(*items.columns, F.col("_bq.bq_idx").alias("bq_idx"), F.when(ahead.rlike(r"[:,;—…]$|\.\.\.$"), ahead).alias("intro"))

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from docketry.functions.names import pin_page
 
 KEY = ("volume", "reporter", "page")
-FULL, SHORT = F.lit("full_case"), F.lit("short_case")
 
 
 def _is(kind: str) -> F.Column:

@@ -75,10 +75,7 @@ def first_local(citations: Column) -> Column:
     return F.try_element_at(F.filter(citations, lambda c: c["local_json_path"].isNotNull()), F.lit(1))
 
 
-@F.pandas_udf("string")
-def token_overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Default scorer: verified if nearly all of a proposition's words stand in the text,
-    else uncertain; a word count alone never fails a proposition."""
+def _overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for claims, texts in batches:
         out = []
         for claim, text in zip(claims, texts, strict=True):
@@ -88,6 +85,12 @@ def token_overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series(out)
 
 
+def token_overlap(claim: Column, text: Column) -> Column:
+    """Default scorer: verified if nearly all of a proposition's words stand in the text,
+    else uncertain; a word count alone never fails a proposition."""
+    return F.pandas_udf(_overlap, "string")(claim, text)
+
+
 def verdict_of(reply: Column) -> Column:
     """Verdict of a scorer's reply by the first line's own word, so UNVERIFIED is none."""
     head = F.upper(F.substring_index(reply, "\n", 1))
@@ -105,11 +108,12 @@ def validate(props: DataFrame, cases: DataFrame, pages: DataFrame, scorer=token_
     quotes = F.when(F.col("type") == "block_quote", F.concat(F.array("text"), inner)).otherwise(inner)
     hit = F.exists(quotes, lambda q: F.coalesce(occurs(q, F.col("_on_page")), F.lit(False)) | F.coalesce(occurs(q, F.col("_case")), F.lit(False)))
     quoted = T.is_quote(F.col("text"), F.col("type"))
+    verdict = lambda result, why: F.struct(F.lit(result).alias("result"), F.lit(why).alias("explanation"))
     decided = (
-        F.when(F.coalesce(F.size("citations"), F.lit(0)) <= 0, F.struct(F.lit("uncertain").alias("result"), F.lit("no citations").alias("explanation")))
-        .when(F.col("_path").isNull(), F.struct(F.lit("uncertain"), F.lit("no local case file")))
-        .when(F.col("_case").isNull(), F.struct(F.lit("uncertain"), F.lit("case text cannot be read")))
-        .when(quoted & hit, F.struct(F.lit("verified"), F.lit("quotation found")))
+        F.when(F.coalesce(F.size("citations"), F.lit(0)) <= 0, verdict("uncertain", "no citations"))
+        .when(F.col("_path").isNull(), verdict("uncertain", "no local case file"))
+        .when(F.col("_case").isNull(), verdict("uncertain", "case text cannot be read"))
+        .when(quoted & hit, verdict("verified", "quotation found"))
     )
     own = own.withColumn("_decided", decided)
     done = own.where(F.col("_decided").isNotNull()).withColumns({"result": F.col("_decided.result"), "explanation": F.col("_decided.explanation")})
