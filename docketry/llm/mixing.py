@@ -167,8 +167,8 @@ def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id",
     at_edge = F.coalesce(F.col("_bin") == F.col("_edge"), F.lit(False))
     clear = planned.where(~at_edge).withColumn("_more", F.coalesce(F.col("_bin") < F.col("_edge"), F.lit(False)))
     one_by_one = Window.partitionBy("_pattern").orderBy("_digest", "_key", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = (F.col("_before") + F.sum("_size").over(one_by_one)) * 2 - F.col("_size")
-    close = planned.where(at_edge).withColumn("_more", middle <= F.col("_rest") * 2)
+    start = F.col("_before") + F.sum("_size").over(one_by_one) - F.col("_size")
+    close = planned.where(at_edge).withColumn("_more", (start < F.col("_rest")) & (start * 2 + F.col("_size") <= F.col("_rest") * 2))
     return clear.unionByName(close).select("_row", (F.col("_full") + F.col("_more").cast("int")).alias("copies"))
 
 
