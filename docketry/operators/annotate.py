@@ -5,6 +5,9 @@ words: brief_id, page_num, x0, y0, x1, y1, word, block_no, line_no, word_no.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +51,23 @@ def underlines(rects: DataFrame, width: float = 1.0) -> DataFrame:
     offsets = F.when(F.col("signalled"), F.array(F.lit(1.0), F.lit(4.0))).otherwise(F.array(F.lit(1.0)))
     lines = rects.withColumn("_offset", F.explode(offsets))
     return lines.select("brief_id", "page_num", "x0", "x1", (F.col("y1") + F.col("_offset")).alias("y"), pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"), F.lit(width).alias("width"), "kind")
+
+
+def write_annotated(files: DataFrame, lines: DataFrame, rewrite: Callable[[bytes, list[dict]], bytes], keep: tuple[int, int] | None = None) -> DataFrame:
+    """brief_id, content: each file with its underlines drawn by a plug-in.
+
+    files: brief_id, content. lines: as from `underlines`. The plug-in gets a file's bytes
+    and its lines in page order. keep: first and last page whose lines are drawn.
+    """
+    if keep is not None:
+        lines = lines.where(F.col("page_num").between(*keep))
+    mark = F.struct("page_num", "y", "x0", "x1", "r", "g", "b", "width", "kind")
+    held = lines.groupBy("brief_id").agg(F.array_sort(F.collect_list(mark)).alias("_lines"))
+    both = files.select("brief_id", "content").join(held, "brief_id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [rewrite(c, [dict(x) for x in (own if own is not None else [])]) for c, own in zip(batch["content"], batch["_lines"], strict=True)]
+            yield pd.DataFrame({"brief_id": batch["brief_id"], "content": made})
+
+    return both.mapInPandas(run, "brief_id string, content binary")

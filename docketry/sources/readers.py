@@ -53,15 +53,15 @@ def words_of(blocks: DataFrame) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CASE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).withColumn("path", F.input_file_name())
+    return spark.read.schema(CASE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).withColumn("path", F.regexp_replace(F.input_file_name(), "^file:/+", "/"))
 
 
 def read_case_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path).withColumn("path", F.input_file_name())
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path).withColumn("path", F.regexp_replace(F.input_file_name(), "^file:/+", "/"))
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PARSED).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    return spark.read.schema(PARSED).option("multiLine", True).json(path).withColumn("path", F.regexp_replace(F.input_file_name(), "^file:/+", "/"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -98,3 +98,26 @@ def registry_tables(spark: SparkSession, database: str) -> None:
         f"CREATE TABLE IF NOT EXISTS {database}.briefs (brief_id INT, user_id INT, filename STRING, uploaded_at TIMESTAMP_NTZ, processed_at TIMESTAMP_NTZ, argument_data STRING, "
         "original_pdf_path STRING, annotated_pdf_path STRING, argument_start_page INT, argument_end_page INT, total_statements INT, total_quotations INT, total_citations INT, version BIGINT, deleted BOOLEAN) USING parquet"
     )
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str], column: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1) -> DataFrame:
+    """A database table; with a numeric column, in parallel parts."""
+    if column is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=properties)
+
+
+def write_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
+    rows.write.mode("append").jdbc(url, table, properties=properties)
+
+
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Case files as JSON, in folders by reporter and volume. Needs reporter, volume."""
+    from docketry.functions.names import reporter_slug
+
+    cases.withColumn("slug", reporter_slug(F.col("reporter"))).where("slug IS NOT NULL").write.mode("append").partitionBy("slug", "volume").json(path)
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One HTML text for each brief, in folders by brief. Needs brief_id, html."""
+    reports.select("brief_id", F.col("html").alias("value")).write.mode("overwrite").partitionBy("brief_id").text(path)

@@ -301,3 +301,42 @@ def test_assembled_cases(spark):
     opinions = spark.createDataFrame([(1, 2, "dissent", None, "J", "<p>no</p>"), (1, 1, "lead", "yes", "K", None)], "cluster_id long, seq int, type string, text string, author string, html string")
     got = {r["name"]: r["casebody"] for r in readers.assemble_cases(records, opinions).collect()}
     assert [(o["type"], o["text"]) for o in got["A"]["opinions"]] == [("lead", "yes"), ("dissent", "no")] and got["B"]["opinions"] is None
+
+
+def answer(volume, reporter, page):
+    return None if page == "2" else f'{{"caseName": "A v. B", "citation": ["9 X. 1", "{volume} {reporter} {page}"], "cluster_id": 5}}'
+
+
+def test_prefetch_keeps_misses(spark):
+    from docketry.sources import lookup
+
+    frame = cites(spark, [("full_case", "1", "U.S.", "1", None, None), ("full_case", "1", "U.S.", "1", None, None), ("full_case", "1", "U.S.", "2", None, None), ("id", None, None, None, None, None)])
+    first = lookup.prefetch(frame, None, answer)
+    assert sorted((r["page"], r["found"]) for r in first.collect()) == [("1", True), ("2", False)]
+    assert lookup.prefetch(frame, first, answer).count() == 0
+    got = lookup.records_of(first).collect()
+    assert [(r["record"]["case_name"], r["start_page"]) for r in got] == [("A v. B", 1)]
+    clusters = spark.createDataFrame([(5, ["https://x.test/o/7/", "https://x.test/o/8"])], "cluster_id long, urls array<string>")
+    assert sorted((r["seq"], r["body"]) for r in lookup.opinions_of(clusters, lambda i: f"body {i}").collect()) == [(0, "body 7"), (1, "body 8")]
+
+
+def test_annotated_files(spark):
+    files = spark.createDataFrame([("b", bytearray(b"x")), ("c", bytearray(b"y"))], "brief_id string, content binary")
+    rects = spark.createDataFrame([("b", 2, 0.0, 5.0, 9.0, "citation", True), ("b", 9, 0.0, 5.0, 9.0, "citation", False)], "brief_id string, page_num int, x0 double, x1 double, y1 double, kind string, signalled boolean")
+    got = {r["brief_id"]: bytes(r["content"]) for r in annotate.write_annotated(files, annotate.underlines(rects), lambda c, own: bytes(c) + f"{len(own)}".encode(), (1, 3)).collect()}
+    assert got == {"b": b"x2", "c": b"y0"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from docketry import __main__ as cli
+
+    assert cli.main(["list"]) == 0 and "pin_carry" in capsys.readouterr().out
+    spark.createDataFrame(BRIEF, BLOCKS).write.parquet(str(tmp_path / "blocks"))
+    spark.createDataFrame([("50", "S.W.3d", "285", ("Doe v. State", 7), 285)], "volume string, reporter string, page string, record struct<case_name:string,cluster_id:long>, start_page int").write.parquet(str(tmp_path / "records"))
+    case = tmp_path / "cases/sw3d/50/json"
+    case.mkdir(parents=True)
+    (case / "0285-01.json").write_text('{"casebody": {"opinions": [{"text": "The standard of review is settled and long known."}]}}')
+    assert cli.main(["validate", str(tmp_path / "blocks"), str(tmp_path / "records"), str(tmp_path / "cases"), str(tmp_path / "out")]) == 0
+    found = spark.read.json(str(tmp_path / "out/validations"))
+    assert found.count() > 2 and found.where("result = 'verified'").count() >= 1
+    assert cli.main(["query", "nothing"]) == 2
