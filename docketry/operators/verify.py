@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from docketry.functions import text as T
 from docketry.functions.names import pin_page
 
-#: Words of the anchor that a key-less search joins on.
-ANCHOR = 5
+#: Characters of quotations that one automaton holds.
+BLOCK = 2_000_000
 
 
 def occurs(quote: Column, text: Column, unicode: bool = True) -> Column:
@@ -29,25 +31,39 @@ def verify_keyed(quotes: DataFrame, cases: DataFrame, key: str = "case_id") -> D
     return joined.withColumn("found", found).drop("_text")
 
 
-def verify_anywhere(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str, unicode: bool = False) -> DataFrame:
+def _finder(needles: Broadcast) -> Callable:
+    """A function from texts to the keys of the needles in each; needles: (key, text)."""
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for key, needle in needles.value:
+            automaton.add_word(needle, (*automaton.get(needle, ()), key))
+        automaton.make_automaton()
+        for some in batches:
+            yield pd.Series([list({k for _, keys in automaton.iter(t) for k in keys}) if t else [] for t in some])
+
+    return search
+
+
+def verify_anywhere(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str, unicode: bool = False, block: int = BLOCK) -> DataFrame:
     """Pairs (quote_id, text_id) where the quotation occurs in the text in matching form.
 
-    There is no key, so an anchor makes one: ANCHOR whole words from inside the quotation
-    (its first and last may be parts of words) must stand in the text, and their hash joins
-    the two sides; `contains` verifies the pairs. Quotations of fewer words are compared
-    with all texts. An empty quotation matches nothing.
+    There is no join key. Quotations are taken in blocks of at most `block` characters; a
+    block becomes one automaton that finds all its quotations in a single pass over a text,
+    so no pair is compared, no text is shuffled, and the time does not depend on how many
+    quotations a block has. An empty quotation matches nothing.
     """
     q = quotes.select(F.col(quote_id).alias("_q"), T.matching_text(F.col(quote), unicode).alias("_quote")).where("_quote <> ''")
-    q = q.withColumn("_words", F.split("_quote", " "))
-    t = texts.select(F.col(text_id).alias("_t"), T.matching_text(F.col(text), unicode).alias("_text"))
-    long = q.where(F.size("_words") >= ANCHOR + 2).withColumn("_anchor", F.xxhash64(F.array_join(F.slice("_words", 2, ANCHOR), " ")))
-    words = F.split("_text", " ")
-    runs = F.when(F.size(words) >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - ANCHOR + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_words"), i, ANCHOR), " ")))))
-    exploded = t.withColumn("_words", words).select("_t", F.explode(runs).alias("_anchor"))
-    hits = exploded.join(long.select("_anchor", "_q", "_quote"), "_anchor").select("_t", "_q", "_quote").distinct()
-    found = hits.join(t, "_t").where(F.contains("_text", "_quote")).select("_q", "_t")
-    few = t.join(q.where(F.size("_words") < ANCHOR + 2).select("_q", "_quote"), F.contains("_text", F.col("_quote"))).select("_q", "_t")
-    return found.unionByName(few).select(F.col("_q").alias(quote_id), F.col("_t").alias(text_id))
+    upto = F.sum(F.length("_quote")).over(Window.orderBy("_q", "_quote").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = q.withColumn("_block", F.floor(upto / block))
+    kind = quotes.schema[quote_id].dataType
+    rows = texts.select(F.col(text_id), T.matching_text(F.col(text), unicode).alias("_text"), F.array().cast(ArrayType(kind)).alias("_found"))
+    for number in [r["_block"] for r in numbered.select("_block").distinct().orderBy("_block").collect()]:
+        needles = quotes.sparkSession.sparkContext.broadcast([(r["_q"], r["_quote"]) for r in numbered.where(F.col("_block") == number).collect()])  # about `block` characters
+        rows = rows.withColumn("_found", F.concat("_found", F.pandas_udf(_finder(needles), ArrayType(kind))(F.col("_text"))))
+    return rows.select(F.explode("_found").alias(quote_id), text_id)
 
 
 def case_text(cases: DataFrame, html: DataFrame | None = None) -> DataFrame:
