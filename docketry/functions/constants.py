@@ -72,3 +72,14 @@ DEFENDANT_BODIES = ("the", "state", "united", "people", "commonwealth")
 
 # Underline colours (red, green, blue) by type.
 COLOURS = {"statement": (0.0, 0.6, 0.0), "quotation": (0.0, 0.0, 0.8), "block_quotation": (0.5, 0.0, 0.5), "citation": (0.8, 0.0, 0.0)}
+
+# Patterns that results depend on.
+CITATION_CORE = r"\d+\s+[A-Z][A-Za-z.]+(?:\s*\d*[a-z]*d?)?\s+\d+"
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z])"
+SPLIT_WORD = r"(\w+)-\s+(\w+)"
+SPLIT_LINE_WORD = r"(\w+)-\s*\n\s*(\w+)"
+BRACKETED = r"\[[^\]]*\]"
+TAG = "<[^>]+>"
+SIC = r"(?i)\s*\[sic\]\s*"
+VERSUS = r"\s+v\.?\s+"
+CASES_PART = r"(?is)Cases\s*\n(.*?)(?:Statutes|Rules|Other|\z)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.constants import DEFENDANT_BODIES, PLAINTIFF_BODIES, REPORTER_SLUGS
+from docketry.functions.constants import DEFENDANT_BODIES, PLAINTIFF_BODIES, REPORTER_SLUGS, SIC, VERSUS
 from docketry.functions.text import strip, zero_filled
 
 
@@ -17,7 +17,7 @@ def _surname(side: Column, bodies: tuple[str, ...], unicode: bool) -> Column:
 def compared_name(name: Column, unicode: bool = True) -> Column:
     """Name for comparison: surnames of both sides; public bodies stay whole; what follows
     the defendant's first comma goes. A name without "v." is only stripped; null is empty."""
-    sides = F.split(name, r"\s+v\.?\s+", 2)
+    sides = F.split(name, VERSUS, 2)
     plaintiff = _surname(sides[0], PLAINTIFF_BODIES, unicode)
     defendant = _surname(strip(F.split(F.try_element_at(sides, F.lit(2)), ",")[0], unicode), DEFENDANT_BODIES, unicode)
     return F.when(name.isNull() | (name == ""), F.lit("")).when(F.size(sides) == 2, F.concat(plaintiff, F.lit(" v. "), defendant)).otherwise(strip(name, unicode))
@@ -25,7 +25,7 @@ def compared_name(name: Column, unicode: bool = True) -> Column:
 
 def _side(text: Column, unicode: bool) -> Column:
     bare = F.regexp_replace(strip(text, unicode), "[.,;:]+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?i)\s*\[sic\]\s*", ""), r"^\d+\s+", "")
+    return F.regexp_replace(F.regexp_replace(bare, SIC, ""), r"^\d+\s+", "")
 
 
 def party_name(plaintiff: Column, defendant: Column, unicode: bool = True) -> Column:

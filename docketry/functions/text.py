@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.constants import ABBREVIATIONS, MORE_ABBREVIATIONS, SIGNALS
+from docketry.functions.constants import ABBREVIATIONS, BRACKETED, CITATION_CORE, MORE_ABBREVIATIONS, SENTENCE_GAP, SIGNALS, SPLIT_LINE_WORD, SPLIT_WORD, TAG
 
 OPEN, CLOSE = "“", "”"
 QUOTES = f'["{OPEN}{CLOSE}]'
@@ -48,12 +48,12 @@ def recogniser_text(text: Column, dashes: bool = True, unicode: bool = True) ->
 
 def join_hyphens(text: Column, unicode: bool = True) -> Column:
     """Words split by a hyphen and white space are joined, then white space is collapsed."""
-    return collapse(F.regexp_replace(text, _flag(unicode) + r"(\w+)-\s+(\w+)", "$1$2"), unicode)
+    return collapse(F.regexp_replace(text, _flag(unicode) + SPLIT_WORD, "$1$2"), unicode)
 
 
 def join_line_hyphens(text: Column) -> Column:
     """As join_hyphens, only across a line's end."""
-    return F.regexp_replace(text, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    return F.regexp_replace(text, "(?U)" + SPLIT_LINE_WORD, "$1$2")
 
 
 def matching_text(text: Column, unicode: bool = True) -> Column:
@@ -62,7 +62,7 @@ def matching_text(text: Column, unicode: bool = True) -> Column:
     w = _flag(unicode)
     straight = F.translate(collapse(text, unicode), "“”‘’", "\"\"''")
     dots = F.regexp_replace(F.regexp_replace(straight, r"\.{3,}", "..."), w + r"\s*\.\.\.\s*", " ... ")
-    bare = F.regexp_replace(dots, r"\[[^\]]*\]", "")
+    bare = F.regexp_replace(dots, BRACKETED, "")
     return F.lower(collapse(F.regexp_replace(bare, "[–—]", "-"), unicode))
 
 
@@ -76,7 +76,7 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'"
 
 def html_text(html: Column, unicode: bool = True) -> Column:
     """Tags become spaces, entities characters, white space single spaces."""
-    out = F.regexp_replace(html, "<[^>]+>", " ")
+    out = F.regexp_replace(html, TAG, " ")
     for entity, character in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(character))
     return collapse(out, unicode)
@@ -222,7 +222,7 @@ def search_chunks(text: Column, most: int = 50) -> Column:
     cut = lambda s: F.left(s, F.lit(most))
     head = lambda s: F.regexp_extract(cut(s), rf"^(.{{{most // 2 + 1},}}) ", 1)
     short = lambda s: F.when(F.length(s) <= most, s).when(head(s) != "", strip(head(s))).otherwise(strip(cut(s)))
-    pieces = F.filter(F.transform(F.split(plain, r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: strip(s)), lambda s: s != "")
+    pieces = F.filter(F.transform(F.split(plain, SENTENCE_GAP), lambda s: strip(s)), lambda s: s != "")
     return F.when(plain == "", F.array().cast("array<string>")).when(F.length(plain) <= most, F.array(plain)).otherwise(F.transform(pieces, short))
 
 
@@ -230,7 +230,7 @@ def search_terms(citation: Column) -> Column:
     """Terms to look for, most specific first: a short citation whole, the reporter's part,
     the beginning of a long one."""
     plain = collapse(citation)
-    core = F.nullif(F.regexp_extract(citation, r"\d+\s+[A-Z][A-Za-z.]+(?:\s*\d*[a-z]*d?)?\s+\d+", 0), F.lit(""))
+    core = F.nullif(F.regexp_extract(citation, CITATION_CORE, 0), F.lit(""))
     head = F.left(plain, F.lit(30))
     cut = F.nullif(F.regexp_extract(head, "^(.{16,}) ", 1), F.lit(""))
     return F.array_compact(F.array(F.when(F.length(plain) <= 30, plain), core, F.when(F.length(plain) > 30, F.coalesce(cut, head))))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.constants import CASES_PART
 from docketry.functions.text import alternatives
 
 
@@ -82,7 +83,7 @@ def section_text(pages: DataFrame, sections: DataFrame, separator: str = "\n") -
 
 def cases_part(text: F.Column) -> F.Column:
     """The list of cases in a table of authorities."""
-    return F.regexp_extract(text, r"(?is)Cases\s*\n(.*?)(?:Statutes|Rules|Other|\z)", 1)
+    return F.regexp_extract(text, CASES_PART, 1)
 
 
 def phrase_position(blocks: DataFrame, phrases: DataFrame, head: int | None = 50) -> DataFrame:
