@@ -116,17 +116,21 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _tree(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
     """Breadth-first trees over the links of fingerprints: (place, places that it adds)."""
-    made, rest = [], np.arange(len(fps))
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
+    made, left = [], np.arange(len(fps))
+    words = [np.ascontiguousarray(w) for w in fps.reshape(len(fps), -1).T]
+    own = fps.reshape(len(fps), -1)
+    while len(left) > 1:
+        queue, left, words = [left[0]], left[1:], [w[1:] for w in words]
+        while queue and len(left):
             node = queue.pop()
-            near = apart(fps[rest], fps[node]) <= radius
+            bits = np.bitwise_count(words[0] ^ own[node, 0])
+            for w, x in zip(words[1:], own[node, 1:], strict=True):
+                bits = np.add(bits, np.bitwise_count(w ^ x), dtype=np.uint16)
+            near = bits <= radius
             if near.any():
-                reached = rest[near]
-                made.append((node, reached))
-                queue.extend(reached)
-                rest = rest[~near]
+                made.append((node, left[near]))
+                queue.extend(left[near])
+                left, words = left[~near], [w[~near] for w in words]
     return made
 
 
