@@ -2,7 +2,8 @@
 
 P(grade >= k) = sigmoid(w . x - threshold_k): one weight per hashed feature, shared by
 all grades, and ordered thresholds. Features are the distinct lower-case words of the
-whole text and a few coarse facts of its form (each in bins), hashed to DIMENSIONS.
+whole text, the beginnings of the longer ones, and a few coarse facts of its form (each in
+bins), hashed to DIMENSIONS.
 
 Grades come from the labels: one point for good quality and one for the lack of
 toxicity, so 0, 1 or 2. The model is fitted on the driver on at most `sample` labelled
@@ -34,6 +35,10 @@ SAMPLE = 10_000
 #: Features that fewer of them have are left out.
 MIN_DOCUMENTS = 4
 GRADES = 3
+#: A document is kept if its chance of the best grade is at least this.
+THRESHOLD = 0.6
+#: Bytes of a longer word's beginning, a feature of its own.
+HEAD = 5
 #: Standard deviations by which a feature must tell the grades apart.
 SCORE = 4.5
 
@@ -69,14 +74,16 @@ class Features:
         raw = (text or "").encode()
         words = raw.translate(_FOLD).split()
         distinct = set(words)
+        heads = {b"\x01" + w[:HEAD] for w in distinct if len(w) > HEAD}
+        form, distinct = _form(raw, len(words), len(distinct)), distinct | heads
         known = self.known
         if len(known) > self.remembered:
             known.clear()
         for w in distinct.difference(known):
             known[w] = zlib.crc32(w) % self.dimensions
         ids = np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct))
-        form = [zlib.crc32(x.encode()) % self.dimensions for x in _form(raw, len(words), len(distinct))]
-        return np.unique(np.concatenate((ids, np.array(form, np.int32))))
+        more = [zlib.crc32(x.encode()) % self.dimensions for x in form]
+        return np.unique(np.concatenate((ids, np.array(more, np.int32))))
 
 
 @dataclass(frozen=True)
@@ -104,7 +111,7 @@ def telling(rows: list[np.ndarray], grades: np.ndarray, dimensions: int, grade_c
     return np.flatnonzero((used >= MIN_DOCUMENTS) & (np.abs(sums - used * slope.mean()) >= SCORE * np.sqrt(spread)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, dimensions: int = DIMENSIONS, grade_count: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 0.1) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, dimensions: int = DIMENSIONS, grade_count: int = GRADES, rounds: int = 400, rate: float = 0.05, ridge: float = 1.0) -> Model:
     """Maximum penalised likelihood by full-batch Adam; deterministic."""
     live = telling(rows, grades, dimensions, grade_count)
     place = np.full(dimensions, -1, np.int64)
@@ -187,13 +194,13 @@ def accepted(threshold: float) -> Column:
     return F.coalesce(F.col("_score.tails")[GRADES - 2] >= threshold, F.lit(True))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """key, expected_grade, p_grade_1, p_grade_2, kept (p_grade_2 >= threshold) for every row."""
     found = scored(docs.select(key, text), train(docs, labels, key, text, sample), text)
     tails = [F.col("_score.tails")[k - 1].alias(f"p_grade_{k}") for k in range(1, GRADES)]
     return found.select(F.col(f"_row.{key}").alias(key), F.col("_score.expected_grade").alias("expected_grade"), *tails, accepted(threshold).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that the model does not reject."""
     return scored(docs, train(docs, labels, key, text, sample), text).where(accepted(threshold)).select("_row.*")
