@@ -282,7 +282,7 @@ def plan_tables(similarity: float, classes: int, recall: float = 0.985) -> tuple
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
     """The rows of docs, all columns, that stay when one document is left of each group of
-    near duplicates: the one of least key, then of least hash of its text.
+    near duplicates: the one of least key (null first), then of least hash of its text.
 
     Groups are components of links between SimHash fingerprints over the sets of
     `width`-word shingles, at the distance that `similarity` implies. That is too far for

@@ -102,7 +102,7 @@ def test_one_of_each_near_duplicate_group(spark):
     assert set(range(20, 40)) <= set(kept) and None in kept and not set(range(102, 120)) & set(kept)
     some = documents(spark)
     out = simhash.one_of_each(some)
-    assert out.columns == some.columns and out.where("doc_id in (200, 201, 202)").count() == 1
+    assert out.columns == some.columns and out.where("coalesce(text, '') rlike '^\\\\s*$'").count() == 1  # under a null key
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
