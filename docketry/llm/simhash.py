@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from docketry.llm.base import materialize
 from docketry.llm.components import components
@@ -149,10 +150,10 @@ def _links(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
     return made
 
 
-def met(place: np.ndarray, node: np.ndarray, fp: np.ndarray, radii: tuple[int, ...], entered: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def met(place: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, entered: np.ndarray | None = None, aside: list[tuple] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among rows of whole places, sorted by place. A place where nothing is entered
-    (rows only probe) is passed over. radii: large places give a tree for each."""
-    radius = max(radii)
+    (rows only probe) is passed over. Places of over FEW rows give a tree, or, if `aside` is
+    a list, nothing but their (place, node) in that list."""
     cuts = np.flatnonzero(np.diff(place)) + 1
     begins = np.concatenate(([0], cuts))
     sizes = np.diff(np.append(begins, len(place)))
@@ -170,19 +171,30 @@ def met(place: np.ndarray, node: np.ndarray, fp: np.ndarray, radii: tuple[int, .
         near = same[apart(f[same + gap], f[same]) <= radius]
         if len(near):
             yield n[near], n[near + gap]
+    if aside is not None:
+        crowded = (useful & ~small)[which]
+        aside.append((place[crowded], node[crowded]))
+        return
     for i in np.flatnonzero(useful & ~small):
         here = slice(begins[i], begins[i] + sizes[i])
-        for near in radii:
-            for at, reached in _links(fp[here], near):
-                yield np.full(len(reached), node[here][at]), node[here][reached]
+        for at, reached in _links(fp[here], radius):
+            yield np.full(len(reached), node[here][at]), node[here][reached]
 
 
-def linked(rows: DataFrame, radii: tuple[int, ...], own: list[tuple[int, int]] | None = None) -> DataFrame:
-    """rows: place, node and the fingerprint's words (none: the node is the fingerprint).
-    Returns verified links u, v between nodes with the same components as all links within
-    places; a link may come more than once. own: (lowest bit, width) of the segments that
-    the high bits of place number, to tell entries from probes."""
+def linked(rows: DataFrame, radius: int, own: list[tuple[int, int]] | None = None, crowds_aside: bool = False) -> DataFrame:
+    """rows: place, node and the fingerprint (words, or one binary column; none: the node is
+    the fingerprint). Returns links u, v between nodes, of at most `radius` bits, with the
+    same components as all such links within places; a link may come more than once. own:
+    (lowest bit, width) of the segments that the high bits of place number, to tell entries
+    from probes.
+
+    A tree keeps the components only of links that nothing removes later. Where `radius` is
+    a bound before the last one, use crowds_aside: places of over FEW rows then give no link
+    but each of their rows as (u: node, v: null, place); other rows have a null place, and
+    all pairs of their places are there."""
     words = len(rows.columns) - 2
+    binary = words == 1 and isinstance(rows.schema[2].dataType, BinaryType)
+    names = ["u", "v", "place"] if crowds_aside else ["u", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -193,15 +205,23 @@ def linked(rows: DataFrame, radii: tuple[int, ...], own: list[tuple[int, int]] |
                 low, width = (np.array(x, np.uint64) for x in zip(*own, strict=True))
                 value = (fp >> low[segment]) & ((np.uint64(1) << width[segment]) - np.uint64(1))
                 entered = value == (place & np.int64((1 << 48) - 1)).view(np.uint64)
-            for u, v in met(place, node, fp, radii, entered):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            aside: list[tuple] | None = [] if crowds_aside else None
+            for u, v in met(place, node, fp, radius, entered, aside):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())][: len(names)], names=names)
+            for where, u in aside or []:
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()), pa.array(where)], names=names)
 
         held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place, node, *wide = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            fp = np.stack([x.view(np.uint64) for x in wide], axis=1) if words else node.view(np.uint64)
+            place, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            if binary:
+                fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            else:
+                wide = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+                fp = np.stack([x.view(np.uint64) for x in wide], axis=1) if words else node.view(np.uint64)
             last = int(np.searchsorted(place, place[-1]))  # the last place may go on in the next batch
             if last == 0 and (not held or held[-1][0][-1] == place[0]):
                 held.append((place, node, fp))
@@ -212,13 +232,13 @@ def linked(rows: DataFrame, radii: tuple[int, ...], own: list[tuple[int, int]] |
         if held:
             yield from links(held)
 
-    return rows.repartition(F.col("place")).sortWithinPartitions("place").mapInArrow(run, "u long, v long")
+    return rows.repartition(F.col("place")).sortWithinPartitions("place").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def links(classes: DataFrame, radius: int = 4, count: int = 3) -> DataFrame:
     """classes: distinct fp. Verified links of at most `radius` bits."""
     rows = classes.select(F.explode(places(F.col("fp"), radius, count)).alias("place"), F.col("fp").alias("node"))
-    return linked(rows, (radius,), [(low, width) for low, width, _ in segments(radius, count)])
+    return linked(rows, radius, [(low, width) for low, width, _ in segments(radius, count)])
 
 
 def cluster(prints: DataFrame, radius: int = 4, count: int = 3, key: str = "doc_id") -> DataFrame:
@@ -289,7 +309,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
     balls around a few segments, so each class is entered in many tables of sampled bits
     (balls of radius 0). What meets there is compared on SHORT * 64 bits with room for
     their error, and what passes is verified on all WIDE * 64 bits (one standard deviation
-    of similarity is about 0.03 there). docs is read twice.
+    of similarity is about 0.03 there). Places of over FEW fingerprints fetch all bits and
+    give trees of verified links only. docs is read twice.
     """
     names = [f"f{i}" for i in range(SHORT)]
 
@@ -319,8 +340,11 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
                     yield pa.RecordBatch.from_arrays([pa.array(place), *some.columns[1:]], names=["place", "node", *names])
 
     entered = classes.select("full", "node", *names).mapInArrow(enter, "place long, node long, " + ", ".join(f"{n} long" for n in names))
-    near = linked(entered, (bound(similarity, 64 * SHORT, 0.0), bound(similarity, 64 * SHORT, 2.0))).distinct()
+    found = materialize(linked(entered, bound(similarity, 64 * SHORT, 2.0), crowds_aside=True), "wide-links")
+    near = found.where("v is not null").select("u", "v").distinct()
     most = bound(similarity, 64 * WIDE, 1.0)
+    crowded = found.where("v is null").select("place", F.col("u").alias("node")).join(classes.select("node", "full"), "node").select("place", "node", "full")
+    trees = linked(crowded, most)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +353,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
 
     side = lambda end: classes.select(F.col("node").alias(end), F.col("full").alias(f"full_{end}"))
     both = near.join(side("u"), "u").join(side("v"), "v").select("u", "v", "full_u", "full_v")
-    stars = components(both.mapInArrow(verify, "u long, v long"))
+    stars = components(both.mapInArrow(verify, "u long, v long").unionByName(trees))
     stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     rooted = classes.select("node", "best").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_key"), F.col("best.hash").alias("_hash"))

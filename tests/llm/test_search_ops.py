@@ -106,6 +106,27 @@ def test_one_of_each_near_duplicate_group(spark):
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_of_each_keeps_the_links_of_crowded_places(spark):
+    """Copies near one original and farther from each other: what meets the original in a table leaves."""
+    rng = random.Random(11)
+    base = [f"t{rng.randrange(5000)}" for _ in range(304)]
+    texts = [" ".join(base)]
+    for _ in range(800):
+        own = list(base)
+        for k in range(7):
+            own[(k * 304 // 7 + rng.randrange(8)) % 304] = f"w{rng.randrange(99999)}"
+        texts.append(" ".join(own))
+    fps = np.stack([simhash.wide_fingerprint(t, 5) for t in texts])
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+    width, tables = simhash.plan_tables(0.8, len(texts))
+    draw = np.random.default_rng(42)
+    same = [(bits[:, own] == bits[0, own]).all(axis=1) for own in (draw.choice(1024, width, replace=False) for _ in range(tables))]
+    assert max(x.sum() for x in same) > simhash.FEW
+    linked = np.any(same, axis=0) & (simhash.apart(fps, fps[0]) <= simhash.bound(0.8, 1024, 1.0))
+    kept = {r["doc_id"] for r in simhash.one_of_each(table(spark, list(enumerate(texts)))).collect()}
+    assert kept & set(np.flatnonzero(linked).tolist()) == {0}
+
+
 def test_plan_keeps_recall():
     for n in (10, 10**6, 10**9):
         width, tables = simhash.plan_tables(0.8, n)
