@@ -91,6 +91,23 @@ def quotation_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_QUOTED} AS t").select("doc_id", F.size(T.quotations(t)).cast("long").alias("n_quotes"), T.has_quotation(t).alias("has_quotation"), T.is_quote(t, F.lit("statement")).alias("is_quote"))
 
 
+_QUOTED_WHOLE = """concat('see "', substr(coalesce(text, ''), 1, 30 + CAST(doc_id % 40 AS INT)), '" and ', coalesce(text, ''))"""
+
+
+@query(
+    "quotation_detect_whole",
+    rf"""SELECT doc_id, len(q) AS n_quotes, regexp_matches(t, '["“][^"”]{{{{15,}}}}["”]') AS has_quotation, regexp_matches(text, '["“][^"”]{{{{15,}}}}["”]') AS text_has_quotation,
+    coalesce(list_sum(list_transform(q, lambda x: length(x))), 0) / greatest(length(t), 1) > 0.4 AS is_quote FROM (
+    SELECT doc_id, text, t, regexp_extract_all(t, '["“”]([^"“”]+)["“”]', 1) AS q FROM (SELECT doc_id, coalesce(text, '') AS text, {_QUOTED_WHOLE} AS t FROM {{documents}}))""".replace("{{15,}}", "{15,}"),
+)
+def quotation_detect_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As quotation_detect (whose SQL reads the first 99 characters), over whole texts with
+    a made-up quotation before them; text_has_quotation is about the text alone."""
+    t, text = F.col("t"), F.coalesce("text", F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_QUOTED_WHOLE).alias("t"))
+    return rows.select("doc_id", F.size(T.quotations(t)).cast("long").alias("n_quotes"), T.has_quotation(t).alias("has_quotation"), T.has_quotation(text).alias("text_has_quotation"), T.is_quote(t, F.lit("statement")).alias("is_quote"))
+
+
 _SIGNALLED = "concat('The rule holds. ', CASE o_orderkey % 13 " + " ".join(f"WHEN {i} THEN '{s.capitalize()}'" for i, s in enumerate(SIGNALS)) + " ELSE 'none' END, '  ')"
 
 

@@ -43,3 +43,10 @@ def test_query_equals_sql(spark, sf, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["item_id", "doc_id"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_quotations_beyond_the_beginning_are_detected(spark, tmp_path):
+    deep = "word " * 200 + 'he said "this stands far behind the beginning" and left'
+    spark.createDataFrame([(1, deep), (2, "word " * 200), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_quotes"], r["text_has_quotation"]) for r in __spark_entry__.queries()["quotation_detect_whole"](spark, str(tmp_path)).collect()}
+    assert got[1] == (2, True) and got[2] == (1, False) and not got[3][1]
