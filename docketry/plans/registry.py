@@ -59,6 +59,31 @@ def quote_verification_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.join(docs, "doc_id").select("doc_id", "quality", F.coalesce(verify.occurs(F.col("quote"), F.col("text"), unicode=False), F.lit(False)).alias("found"))
 
 
+#: Quotations of labelled documents from elsewhere: for a third of them a benchmark
+#: item, for the others a piece at a place spread over the text.
+_PLACED = """SELECT l.doc_id, l.quality, d.text AS text, CASE WHEN l.doc_id % 3 = 0 THEN b.text ELSE substr(d.text, CAST(1 + (l.doc_id * 7919) % greatest(length(d.text) - 59, 1) AS INT), 60) END AS quote
+FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id LEFT JOIN {benchmark} b ON b.item_id = l.doc_id % 200"""
+_FOUND = rf"""coalesce(contains(t, q) OR contains(regexp_replace(t, '[^\w\s]', '', 'g'), regexp_replace(q, '[^\w\s]', '', 'g')), false)"""
+_MATCHED = f"""(SELECT doc_id, quality, {MATCHING.format("text")} AS t, {MATCHING.format("quote")} AS q FROM ({_PLACED}))"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.coalesce(verify.occurs(F.col("quote"), F.col("text"), unicode=False), F.lit(False))
+    return in_spark(spark, sf_dir, _PLACED).withColumn("found", found)
+
+
+@query("quote_verification_spread", f"SELECT doc_id, quality, {_FOUND} AS found FROM {_MATCHED}")
+def quote_verification_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As quote_verification_keyed, with quotations from all over the texts and from elsewhere."""
+    return _placed(spark, sf_dir).select("doc_id", "quality", "found")
+
+
+@query("validate_labels_spread", f"SELECT doc_id, CASE WHEN quality = 1 AND {_FOUND} THEN 'verified' ELSE 'uncertain' END AS result FROM {_MATCHED}")
+def validate_labels_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As validate_labels, with the quotations of quote_verification_spread."""
+    return _placed(spark, sf_dir).select("doc_id", F.when((F.col("quality") == 1) & F.col("found"), "verified").otherwise("uncertain").alias("result"))
+
+
 @query(
     "html_to_text",
     "SELECT page_id, trim(regexp_replace(" + "replace(" * len(T.ENTITIES) + r"regexp_replace(html, '<[^>]+>', ' ', 'g')" + "".join(", '{}', '{}')".format(k, v.replace("'", "''")) for k, v in T.ENTITIES.items()) + r", '\s+', ' ', 'g')) AS text FROM {pages}",

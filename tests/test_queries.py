@@ -50,3 +50,14 @@ def test_quotations_beyond_the_beginning_are_detected(spark, tmp_path):
     spark.createDataFrame([(1, deep), (2, "word " * 200), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_quotes"], r["text_has_quotation"]) for r in __spark_entry__.queries()["quotation_detect_whole"](spark, str(tmp_path)).collect()}
     assert got[1] == (2, True) and got[2] == (1, False) and not got[3][1]
+
+
+def test_quotations_are_verified_at_any_place_and_not_by_construction(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = __spark_entry__.queries()["quote_verification_spread"](spark, sf).collect()
+    missing = [r["doc_id"] for r in found if not r["found"]]
+    assert missing and all(k % 3 == 0 for k in missing if len(docs[k]) > 200)
+    deep = [r["doc_id"] for r in found if r["found"] and r["doc_id"] % 3 and (r["doc_id"] * 7919) % max(len(docs[r["doc_id"]]) - 59, 1) > 1000]
+    assert deep
+    results = {r["doc_id"]: r["result"] for r in __spark_entry__.queries()["validate_labels_spread"](spark, sf).collect()}
+    assert all(results[k] == "uncertain" for k in missing) and "verified" in results.values()
