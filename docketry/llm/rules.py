@@ -110,6 +110,7 @@ class Rule:
     good: str
 
 
+#: The vocabulary may grow more slowly than the text: a third of the words up to 1,000, then with their root.
 RULES = (
     Rule("symbols", "n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
     Rule("word_length", "word_chars < 3 * n_words or word_chars > 12 * n_words", "word_chars between 4 * n_words and 9 * n_words"),
@@ -117,7 +118,7 @@ RULES = (
     Rule("repetition", "n_repeat_words * 10 > n_words", "n_repeat_words * 50 <= n_words and n_words >= 50"),
     Rule("capitals", "n_capitals * 4 > n_letters", "n_capitals * 10 <= n_letters"),
     Rule("letters", "n_letters * 10 < word_chars * 7", "n_letters * 10 >= word_chars * 9"),
-    Rule("vocabulary", "n_words < 1000 and n_distinct * 3 < n_words", "n_distinct * 5 >= n_words * 2"),
+    Rule("vocabulary", "n_distinct * 3 < n_words and n_distinct * n_distinct * 9 < n_words * 1000", "n_distinct * 5 >= n_words * 2"),
     Rule("exclamations", "n_exclamations * 10 > n_words", "n_exclamations * 50 <= n_words"),
 )
 

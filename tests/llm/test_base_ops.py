@@ -55,6 +55,15 @@ def test_rules_on_awkward_rows(spark):
     assert rules.judge(empty(spark)).count() == 0
 
 
+def test_vocabulary_of_long_texts(spark):
+    rng = np.random.default_rng(3)
+    handful = [" ".join(f"word{i}" for i in rng.integers(0, 12, n)) for n in (999, 1000, 1500, 20_000)]
+    rich = " ".join(f"word{i}" for i in rng.integers(0, 3000, 4000))
+    at = [r.name for r in rules.RULES].index("vocabulary")
+    votes = {r["doc_id"]: rules.unpack(r["votes"], len(rules.RULES))[at] for r in rules.judge(table(spark, list(enumerate([*handful, rich])))).collect()}
+    assert [votes[i] for i in range(4)] == [0] * 4 and votes[4] != 0
+
+
 def test_em_finds_the_bad_rows():
     rng = np.random.default_rng(0)
     good = rng.random(4000) < 0.85
