@@ -8,6 +8,12 @@ bands of 2 * (e + 1) diagonals, each band beginning e + 1 after the one before,
 band holds all of an occurrence. Bands that reach the bound are verified by a banded
 alignment of the whole item against free ends of the text.
 
+Parts count too: an item of over PART characters is also searched by windows of PART
+characters, one every PART // 2 and one at its end, each with its own edits. So any part of
+3 * PART // 2 characters or more holds a whole window and is found wherever that window has
+at most RATE edits. Windows of an item that overlap in the text are one match, of the
+greatest distance among them; those that overlap a match of the whole item are not told.
+
 The benchmark is taken in blocks of at most BLOCK characters, and each block's index is
 sent to the executors on its own; every text meets every block in one scan. No pair of
 text and item is formed unless they share enough q-grams.
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 Q = 9
 #: Edits per character of an item.
 RATE = 0.08
+#: Characters of an item's windows.
+PART = 80
 #: Characters of benchmark text per block.
 BLOCK = 4_000_000
 #: Characters hashed at a time.
@@ -88,9 +96,9 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
 
 
 class Index:
-    """Items of one block and their q-grams."""
+    """Items of one block and their q-grams; with `part`, those of their windows too."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE, part: int | None = None):
         self.q, self.ids, self.texts, self.short = q, [], [], []
         for item_id, text in items:
             plain = normal(text)
@@ -99,6 +107,12 @@ class Index:
             elif plain:
                 self.ids.append(item_id)
                 self.texts.append(plain)
+        self.n_whole = len(self.ids)
+        for item_id, plain in list(zip(self.ids, self.texts, strict=True)) if part else []:
+            if len(plain) > part:
+                for at in sorted({*range(0, len(plain) - part, part // 2), len(plain) - part}):
+                    self.ids.append(item_id)
+                    self.texts.append(plain[at : at + part])
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.minimum((sizes * rate).astype(np.int64), (sizes - q) // q)
         self.bound = sizes - q + 1 - q * self.edits
@@ -149,6 +163,7 @@ class Index:
         item and place, in order of start."""
         plain = normal(text)
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        parts: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, t in self.short:
             at = plain.find(t)
             while at >= 0:
@@ -161,15 +176,32 @@ class Index:
                 high = low + 2 * (edits + 1) - 1
                 exact = plain.find(self.texts[item], max(0, low), high + len(own))
                 if exact >= 0:  # nothing can be nearer
-                    best[self.ids[item], exact] = (0, exact + len(own))
+                    if item < self.n_whole:
+                        best[self.ids[item], exact] = (0, exact + len(own))
+                    else:
+                        parts.setdefault(self.ids[item], []).append((exact, exact + len(own), 0))
                     continue
                 distance, end = align(own, text_codes, low, high)
                 if distance > edits:
                     continue
                 reverse = text_codes[max(0, end - len(own) - edits) : end][::-1]
                 start = end - align(own[::-1], reverse, -edits, edits)[1]
+                if item >= self.n_whole:
+                    parts.setdefault(self.ids[item], []).append((start, end, distance))
+                    continue
                 key = (self.ids[item], start)
                 best[key] = min(best.get(key, (edits + 1, 0)), (distance, end))
+        for item_id, spans in parts.items():
+            whole = [(s, e) for (i, s), (_, e) in best.items() if i == item_id]
+            runs: list[tuple[int, int, int]] = []
+            for s, e, d in sorted(spans):
+                if any(s < b and a < e for a, b in whole):
+                    continue
+                if runs and s < runs[-1][1]:
+                    runs[-1] = (runs[-1][0], max(e, runs[-1][1]), max(d, runs[-1][2]))
+                else:
+                    runs.append((s, e, d))
+            best.update({(item_id, s): (d, e) for s, e, d in runs})
         return sorted(((i, s, e, d) for (i, s), (d, e) in best.items()), key=lambda x: (x[1], x[0]))
 
 
@@ -178,23 +210,22 @@ def matches(text: Column, index: Broadcast) -> Column:
 
     @F.pandas_udf(MATCHES)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items, q, rate = index.value
-        own = Index(items, q, rate)
+        own = Index(*index.value)
         for texts in batches:
             yield pd.Series([[{"item_id": i, "start": s, "end": e, "distance": d} for i, s, e, d in own.find(t)] for t in texts])
 
     return found(text.cast("string"))
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", q: int = Q, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """`_row` (all columns of docs) and `_matches` of all items."""
+def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", q: int = Q, rate: float = RATE, block: int = BLOCK, part: int | None = PART) -> DataFrame:
+    """`_row` (all columns of docs) and `_matches` of all items and, with `part`, of parts of them."""
     spark = docs.sparkSession
     sized = benchmark.select(F.col(item).cast("long").alias("item"), F.col("text").cast("string").alias("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"))
     blocks = sized.withColumn("block", F.floor(F.sum("size").over(Window.orderBy("item", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / block))
     found = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"), F.array().cast(MATCHES).alias("_matches"))
     for number in [r["block"] for r in blocks.select("block").distinct().orderBy("block").collect()]:
         items = [(r["item"], r["text"]) for r in blocks.where(F.col("block") == number).collect()]  # about `block` characters
-        found = found.withColumn("_matches", F.concat("_matches", matches(F.col("_text"), spark.sparkContext.broadcast((items, q, rate)))))
+        found = found.withColumn("_matches", F.concat("_matches", matches(F.col("_text"), spark.sparkContext.broadcast((items, q, rate, part)))))
     return found.drop("_text")
 
 

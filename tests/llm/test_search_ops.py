@@ -247,6 +247,20 @@ def test_decontamination_matches_full_alignment():
     assert [m[0] for m in index.find("a Short story, shortly")] == [52, 52]
 
 
+def test_decontamination_finds_parts_of_items(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    items = [words(59) for _ in range(5)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    half = [" ".join(t.split()[:30]) for t in items]
+    ninth = [" ".join("other" if i % 9 == 8 else w for i, w in enumerate(t.split())) for t in items]
+    data = [(i, f"{words(40)} {x} {words(40)}") for i, x in enumerate([*half, *ninth, *items])] + [(100 + i, words(200)) for i in range(20)]
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(table(spark, data), benchmark).collect()}
+    assert [got[i]["item_ids"] for i in range(15)] == [str(i % 5) for i in range(15)]
+    assert all(got[i]["spans"].count(":") == 3 for i in (*range(5), *range(10, 15)))  # one match each
+    assert not any(got[100 + i]["contaminated"] for i in range(20))
+
+
 def test_align_on_the_edges():
     codes = decontaminate.codes
     assert decontaminate.align(codes("abc"), codes("abc"), 0, 0) == (0, 3)
