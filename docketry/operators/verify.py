@@ -79,11 +79,12 @@ def case_text(cases: DataFrame, html: DataFrame | None = None) -> DataFrame:
 
 def case_pages(html: DataFrame, window: int = 5000) -> DataFrame:
     """path, page, text: a case's pages, cut once at their anchors, for an equi-join on the
-    page. The last page ends after `window` characters."""
+    page. The last page, which has no successor, ends after `window` characters."""
     pieces = F.split("value", r'(?=<a[^>]*\bid="p\d+")')
-    rows = html.select("path", F.posexplode(pieces).alias("n", "piece")).where(F.col("piece").rlike(r'^<a[^>]*\bid="p\d+"'))
+    rows = html.select("path", F.size(pieces).alias("of"), F.posexplode(pieces).alias("n", "piece")).where(F.col("piece").rlike(r'^<a[^>]*\bid="p\d+"'))
     page = F.regexp_extract("piece", r'^<a[^>]*\bid="p(\d+)"', 1).cast("int")
-    return rows.select("path", page.alias("page"), T.html_text(F.left("piece", F.lit(window))).alias("text"))
+    piece = F.when(F.col("n") == F.col("of") - 1, F.left("piece", F.lit(window))).otherwise(F.col("piece"))
+    return rows.select("path", page.alias("page"), T.html_text(piece).alias("text"))
 
 
 def first_local(citations: Column) -> Column:

@@ -340,3 +340,10 @@ def test_command_line(spark, tmp_path, capsys):
     found = spark.read.json(str(tmp_path / "out/validations"))
     assert found.count() > 2 and found.where("result = 'verified'").count() >= 1
     assert cli.main(["query", "nothing"]) == 2
+
+
+def test_only_the_last_page_is_cut(spark):
+    long = "word " * 2000
+    html = spark.createDataFrame([("a", f'<a id="p1">*1</a> {long}first end <a id="p2">*2</a> {long}last end')], "path string, value string")
+    texts = {r["page"]: r["text"] for r in verify.case_pages(html).collect()}
+    assert texts[1].endswith("first end") and len(texts[2]) <= 5000
