@@ -35,7 +35,8 @@ LIMIT = 3
 COSTS = (0, 1, 3)
 #: Hex digits of the seeded digest that name a bin of a pattern.
 BIN_DIGITS = 3
-#: The flow is solved on the driver; more distinct patterns than this are refused.
+#: The flow is solved on the driver; more distinct patterns than this are refused, unless
+#: each has one source: then sources are apart and need no flow.
 MAX_PATTERNS = 50_000
 
 
@@ -126,11 +127,23 @@ def seeded(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f":{seed}")))
 
 
-def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id", size: Column | str = "size", seed: int = 7, costs: Sequence[int] = COSTS) -> DataFrame:
+def apart_plan(sums: DataFrame, quotas: DataFrame, costs: Sequence[int]) -> DataFrame:
+    """The flow where every pattern is one source: as many of its words as the quota asks
+    for, at most one use for each cost. sums: _pattern, words. quotas: source, quota."""
+    asked = quotas.select(F.to_json(F.array("source")).alias("_p"), "quota")
+    words = sums.groupBy(F.col("_pattern").alias("_p")).agg(F.sum("words").alias("_words")).join(asked, "_p", "left")
+    taken = F.least(F.coalesce("quota", F.lit(0)), F.col("_words") * len(costs))
+    some = F.col("_words") > 0
+    full = F.when(some, F.expr("_taken div _words")).otherwise(0).cast("int")
+    return words.withColumn("_taken", taken).select("_p", full.alias("_full"), F.when(some, F.col("_taken") % F.col("_words")).otherwise(0).cast("long").alias("_rest"))
+
+
+def mix(docs: DataFrame, membership: Column, quotas: dict | DataFrame, key: str = "doc_id", size: Column | str = "size", seed: int = 7, costs: Sequence[int] = COSTS) -> DataFrame:
     """`_row` (all columns of docs) and `copies`: how often the mix takes each row.
 
     membership: an array of the source names that a row belongs to (null: none).
-    quotas: {source name: words}; a None name is kept. docs is read more than once, so
+    quotas: {source name: words}; a None name is kept. A table (source, quota) instead is
+    for any number of sources, where each row belongs to one at most. docs is read more than once, so
     it should be a table. In each pattern, rows come in the order of a seeded digest; the
     pattern's words are summed by bins of that digest, which finds the bin where the flow
     runs out, and only that bin's rows (a 1/16**BIN_DIGITS part) are summed one by one.
@@ -144,17 +157,23 @@ def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id",
         seeded(key, seed).alias("_digest"),
     ).withColumn("_bin", F.substring("_digest", 1, BIN_DIGITS))
     sums = materialize(rows.groupBy("_pattern", "_bin").agg(F.sum("_size").alias("words")), "mix-bins")
-    listed = sums.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(listed) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = {r["_pattern"]: (int(r["words"]), [s for s in json.loads(r["_pattern"]) if s in quotas]) for r in listed}
-    flow = least_cost_flow(patterns, quotas, costs)
-    plan = []
-    for name, (words, _) in patterns.items():
-        taken = sum(flow[name].values())
-        full, rest = divmod(taken, words) if words else (0, 0)
-        plan.append((name, int(full), int(rest)))
-    wanted = F.broadcast(spark.createDataFrame(plan, "_p string, _full int, _rest long"))  # one row per pattern: MAX_PATTERNS at most
+    if isinstance(quotas, DataFrame):
+        if sums.where(F.size(F.from_json("_pattern", "array<string>")) > 1).limit(1).count():
+            raise ValueError("a table of quotas needs rows of one source each")
+        wanted, small = materialize(apart_plan(sums, quotas, costs), "mix-plan"), lambda frame: frame
+    else:
+        small = F.broadcast
+        listed = sums.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
+        if len(listed) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+        patterns = {r["_pattern"]: (int(r["words"]), [s for s in json.loads(r["_pattern"]) if s in quotas]) for r in listed}
+        flow = least_cost_flow(patterns, quotas, costs)
+        plan = []
+        for name, (words, _) in patterns.items():
+            taken = sum(flow[name].values())
+            full, rest = divmod(taken, words) if words else (0, 0)
+            plan.append((name, int(full), int(rest)))
+        wanted = F.broadcast(spark.createDataFrame(plan, "_p string, _full int, _rest long"))  # one row per pattern: MAX_PATTERNS at most
     running = Window.partitionBy("_pattern").orderBy("_bin")
     edges = (
         sums.join(wanted, F.col("_pattern") == F.col("_p"))
@@ -163,7 +182,7 @@ def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id",
         .select("_p", F.col("_bin").alias("_edge"), (F.col("_upto") - F.col("words")).alias("_before"))
     )
     plans = wanted.join(edges, "_p", "left")
-    planned = rows.join(F.broadcast(plans), F.col("_pattern") == F.col("_p"))
+    planned = rows.join(small(plans), F.col("_pattern") == F.col("_p"))
     at_edge = F.coalesce(F.col("_bin") == F.col("_edge"), F.lit(False))
     clear = planned.where(~at_edge).withColumn("_more", F.coalesce(F.col("_bin") < F.col("_edge"), F.lit(False)))
     one_by_one = Window.partitionBy("_pattern").orderBy("_digest", "_key", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -172,10 +191,14 @@ def mix(docs: DataFrame, membership: Column, quotas: dict, key: str = "doc_id",
     return clear.unionByName(close).select("_row", (F.col("_full") + F.col("_more").cast("int")).alias("copies"))
 
 
-def source_targets(rows: DataFrame, source: str, size: Column, weights: Sequence[int], limit: int) -> tuple[DataFrame, dict]:
-    """Table of the sources' sizes and targets, and the targets in whole words."""
+def source_targets(rows: DataFrame, source: str, size: Column, weights: Sequence[int], limit: int) -> tuple[DataFrame, dict | DataFrame]:
+    """Table of the sources' sizes and targets, and the targets in whole words: a table too
+    from more than MAX_PATTERNS sources on."""
     by = materialize(targets(rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size")), weights, limit), "mix-targets")
-    return by, {r["source"]: round(r["target"]) for r in by.select("source", "target").limit(MAX_PATTERNS + 1).collect()}
+    listed = by.select("source", "target").limit(MAX_PATTERNS + 1).collect()
+    if len(listed) > MAX_PATTERNS:
+        return by, by.select("source", F.bround("target").cast("long").alias("quota"))
+    return by, {r["source"]: round(r["target"]) for r in listed}
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, limit: int = LIMIT, seed: int = 7) -> DataFrame:
@@ -188,7 +211,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rows = materialize(docs.select(F.col(key).alias("key"), F.col(source).alias("own"), word_count(F.col(text)).alias("size")), "mix-sizes")
     by, quotas = source_targets(rows, "own", F.col("size"), weights, limit)
     mixed = mix(rows, F.array("own"), quotas, "key", "size", seed, COSTS[:limit]).select("_row.*", "copies")
-    return mixed.join(F.broadcast(by), mixed["own"].eqNullSafe(by["source"])).select(
+    return mixed.join(F.broadcast(by) if isinstance(quotas, dict) else by, mixed["own"].eqNullSafe(by["source"])).select(
         F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("own").alias(source)
     )
 

@@ -244,3 +244,11 @@ def test_lm_scores_match_brute_force(spark, order):
 def test_lm_on_awkward_rows(spark):
     assert lm.score(documents(spark)).count() == len(rows())
     assert lm.score(empty(spark)).count() == 0
+
+
+def test_more_sources_than_the_flow_takes(spark, monkeypatch):
+    docs = documents(spark)
+    mixes = lambda: [sorted(map(repr, f.collect())) for f in (mixing.mix_sources(docs), mixing.mixed_rows(docs).select("doc_id", "source"))]
+    want = mixes()
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+    assert mixes() == want
