@@ -162,6 +162,30 @@ def test_piece_encoder_equals_the_tokenizer(texts):
     assert encoder.encode(texts) == plain
 
 
+@pytest.mark.parametrize("window", [7, 50, 1 << 21])
+def test_runs_of_pieces_equal_the_tokenizer(monkeypatch, window):
+    """Every kind of border between pieces, in windows that cut texts anywhere they may."""
+    monkeypatch.setattr(tokens, "WINDOW", window)
+    encoder = tokens.PieceEncoder(BPE, 2)
+    atoms = ["a", "b", " ", "  ", "\n", "\t", "'", "'s", "é", "ß", "×", "÷", "ł", "\u0301", "\xa0", "\u2003", "\x85", "\x1c", "1", "23", ".", "!", "<|endoftext|>", "<|", "ª", "µ", "日", "𝄞", "don't", "l'eau", "word", "Ünï", "\x00"]
+    rng = np.random.default_rng(window)
+    for _ in range(400):
+        texts = ["".join(rng.choice(atoms, rng.integers(0, 14))) for _ in range(rng.integers(1, 6))]
+        want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        ids, sizes = encoder.run([t.encode() for t in texts])
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+
+
+def test_pieces_that_share_a_name_and_forgetting(monkeypatch):
+    """Where hashes of pieces agree, the tokenizer itself is asked; a full memory is emptied."""
+    monkeypatch.setattr(tokens, "_P", 1)
+    monkeypatch.setattr(tokens, "_Q", 1)
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    encoder = tokens.PieceEncoder(BPE, 2)
+    for texts in (["the eht hte", "ab ba"], ["one two three four five", "neo"], ["the eht hte"]):
+        assert encoder.encode(texts) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_wavelet_file():
     rng = np.random.default_rng(1)
     ids = np.concatenate((rng.integers(0, 300, 3000), np.full(500, 49_999)))
