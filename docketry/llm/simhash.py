@@ -9,13 +9,15 @@ r_i + 1 add up to radius + 1. Two fingerprints that differ in at most `radius` b
 differ in at most r_i bits within some segment i (pigeonhole). Each distinct fingerprint
 enters its own value of each segment in a table and probes the table at all values
 within r_i bits; what meets there is verified on all 64 bits. Equal fingerprints are one
-class from the start.
+class from the start. Few fingerprints need only narrow segments, which need no balls; the
+more there are, the wider segments are taken, so that about as many meet in a place at any
+size (plan_segments).
 
-Only the links' connected components are wanted, so within a meeting place links are
-followed breadth first and a fingerprint that has been reached is taken out: a group of
-near copies costs a few sweeps and gives a tree, never all pairs. A place with over LARGE
-fingerprints is first split by radius + 1 groups of the other bits (one of which must
-agree), which keeps every link.
+Only the links' connected components are wanted, so in a place with more links than
+rows, links are followed breadth first and a fingerprint that has been reached is taken
+out: a group of near copies costs a few sweeps and gives a tree, never all pairs. A place
+with over LARGE fingerprints is first split by radius + 1 groups of the other bits (one of
+which must agree) where these groups are wide enough to tell, which keeps every link.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other;
 a null key takes part but names no component unless all its keys are null; rows that
@@ -42,8 +44,12 @@ from docketry.llm.components import components
 BITS = 64
 #: Fingerprints that meet in one place before it is split by further bits.
 LARGE = 16384
-#: Up to so many fingerprints, those of all places are compared at once.
-FEW = 24
+#: Up to so many fingerprints, a place is compared beside others.
+MIDDLE = 4096
+#: Links per fingerprint from which on a place gives a tree instead of all its links.
+FEW = 4
+#: Rows of whole places that are compared at once.
+TOGETHER = 1 << 17
 
 
 def shingles(text: str | None, width: int) -> tuple[bytes, list[int], list[int]]:
@@ -136,9 +142,9 @@ def _tree(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
 
 
 def _links(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
-    if len(fps) <= LARGE:
-        return _tree(fps, radius)
     flat = fps.reshape(len(fps), -1)
+    if len(fps) <= LARGE or 1 << 64 * flat.shape[1] // (radius + 1) < 4 * radius:
+        return _tree(fps, radius)
     bits = np.unpackbits(flat.view(np.uint8), axis=1, bitorder="little")
     made = []
     for group in np.array_split(np.arange(bits.shape[1]), radius + 1):  # one group must agree
@@ -150,32 +156,51 @@ def _links(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
     return made
 
 
+def _near(which: np.ndarray, size: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links within runs of equal `which`; size: of each row's run."""
+    at, found, gap = np.arange(len(which)), [], 1
+    while len(which) > gap:
+        same = np.flatnonzero(which[gap:] == which[:-gap])
+        if not len(same):
+            break
+        near = same[apart(fp[same + gap], fp[same]) <= radius]
+        if len(near):
+            found.append((at[near], at[near + gap]))
+        gap += 1
+        if gap & (gap - 1) == 0:  # only longer runs have rows that far apart
+            more = size > gap
+            which, size, fp, at = which[more], size[more], fp[more], at[more]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def met(place: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, entered: np.ndarray | None = None, aside: list[tuple] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among rows of whole places, sorted by place. A place where nothing is entered
-    (rows only probe) is passed over. Places of over FEW rows give a tree, or, if `aside` is
-    a list, nothing but their (place, node) in that list."""
-    cuts = np.flatnonzero(np.diff(place)) + 1
-    begins = np.concatenate(([0], cuts))
+    (rows only probe) is passed over. Places with over FEW links per row, and those of over
+    MIDDLE rows, give a tree, or, if `aside` is a list, nothing but their (place, node) in
+    that list; there, rows without a link may be left out."""
+    begins = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
     sizes = np.diff(np.append(begins, len(place)))
     which = np.repeat(np.arange(len(sizes)), sizes)
     useful = sizes > 1
     if entered is not None:
         useful &= np.bincount(which, entered, len(sizes)) > 0
-    small = useful & (sizes <= FEW)
-    keep = small[which]
-    f, n, w = fp[keep], node[keep], which[keep]
-    for gap in range(1, FEW):
-        same = np.flatnonzero(w[gap:] == w[:-gap]) if len(f) > gap else np.zeros(0, int)
-        if not len(same):
-            break
-        near = same[apart(f[same + gap], f[same]) <= radius]
-        if len(near):
-            yield n[near], n[near + gap]
+    rows = np.flatnonzero((useful & (sizes <= MIDDLE))[which])
+    u, v = _near(which[rows], sizes[which[rows]], fp[rows], radius)
+    u, v = rows[u], rows[v]
+    dense = np.bincount(which[u], minlength=len(sizes)) > FEW * sizes
+    loose = ~dense[which[u]]
+    if loose.any():
+        yield node[u[loose]], node[v[loose]]
+    crowded = useful & ((sizes > MIDDLE) | dense)
     if aside is not None:
-        crowded = (useful & ~small)[which]
-        aside.append((place[crowded], node[crowded]))
+        linked_rows = np.zeros(len(place), bool)
+        linked_rows[u], linked_rows[v] = True, True
+        chosen = crowded[which] & (linked_rows | (sizes > MIDDLE)[which])
+        aside.append((place[chosen], node[chosen]))
         return
-    for i in np.flatnonzero(useful & ~small):
+    for i in np.flatnonzero(crowded):
         here = slice(begins[i], begins[i] + sizes[i])
         for at, reached in _links(fp[here], radius):
             yield np.full(len(reached), node[here][at]), node[here][reached]
@@ -189,9 +214,9 @@ def linked(rows: DataFrame, radius: int, own: list[tuple[int, int]] | None = Non
     from probes.
 
     A tree keeps the components only of links that nothing removes later. Where `radius` is
-    a bound before the last one, use crowds_aside: places of over FEW rows then give no link
-    but each of their rows as (u: node, v: null, place); other rows have a null place, and
-    all pairs of their places are there."""
+    a bound before the last one, use crowds_aside: places that `met` sets aside then give no
+    link but each of their rows that has one as (u: node, v: null, place); other rows have a
+    null place, and all links of their places are there."""
     words = len(rows.columns) - 2
     binary = words == 1 and isinstance(rows.schema[2].dataType, BinaryType)
     names = ["u", "v", "place"] if crowds_aside else ["u", "v"]
@@ -213,38 +238,53 @@ def linked(rows: DataFrame, radius: int, own: list[tuple[int, int]] | None = Non
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()), pa.array(where)], names=names)
 
         held: list[tuple] = []
+        count = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             place, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
             if binary:
                 fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            elif words == 1:
+                fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             else:
                 wide = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
                 fp = np.stack([x.view(np.uint64) for x in wide], axis=1) if words else node.view(np.uint64)
             last = int(np.searchsorted(place, place[-1]))  # the last place may go on in the next batch
-            if last == 0 and (not held or held[-1][0][-1] == place[0]):
+            if count + last < TOGETHER or (last == 0 and held[-1][0][-1] == place[0]):
                 held.append((place, node, fp))
+                count += batch.num_rows
                 continue
             held.append((place[:last], node[:last], fp[:last]))
-            yield from links(held)
-            held = [(place[last:], node[last:], fp[last:])]
+            yield from links([x for x in held if len(x[0])])
+            held, count = [(place[last:], node[last:], fp[last:])], batch.num_rows - last
         if held:
             yield from links(held)
 
     return rows.repartition(F.col("place")).sortWithinPartitions("place").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def plan_segments(radius: int, classes: int, meeting: int = 16) -> int:
+    """The most segments of which each is wide enough that about `meeting` of so many even
+    fingerprints share a value; two, with balls, at any size beyond."""
+    for count in range(radius + 1, 2, -1):
+        if classes >> BITS // count < meeting:
+            return count
+    return min(2, radius + 1)
+
+
 def links(classes: DataFrame, radius: int = 4, count: int = 3) -> DataFrame:
     """classes: distinct fp. Verified links of at most `radius` bits."""
     rows = classes.select(F.explode(places(F.col("fp"), radius, count)).alias("place"), F.col("fp").alias("node"))
     return linked(rows, radius, [(low, width) for low, width, _ in segments(radius, count)])
 
 
-def cluster(prints: DataFrame, radius: int = 4, count: int = 3, key: str = "doc_id") -> DataFrame:
+def cluster(prints: DataFrame, radius: int = 4, count: int | None = None, key: str = "doc_id") -> DataFrame:
     """prints: key, fp (a table; read more than once). Adds component_id: the least key
-    that is reachable over links of at most `radius` bits, the row's own included."""
+    that is reachable over links of at most `radius` bits, the row's own included. count: of
+    segments; by the number of classes if None."""
     classes = materialize(prints.groupBy("fp").agg(F.min(key).alias("least")), "classes")
+    count = count or plan_segments(radius, classes.count())
     stars = components(links(classes.select("fp"), radius, count))
     stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     named = classes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -253,15 +293,15 @@ def cluster(prints: DataFrame, radius: int = 4, count: int = 3, key: str = "doc_
     return prints.join(found, "fp").select(key, "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, count: int = 3, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, count: int | None = None, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
     """key, fingerprint (16 hexadecimal digits), component_id for every row of docs."""
     prints = materialize(fingerprints(docs, key, text, width, seed), "fingerprints")
     found = cluster(prints, radius, count, key)
     return found.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Words of 64 bits in the fingerprints of `one_of_each`, and those that travel to its tables.
-WIDE, SHORT = 16, 4
+#: Words of 64 bits in the fingerprints of `one_of_each`; the first travels to its tables.
+WIDE = 16
 
 
 def wide_fingerprint(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -295,35 +335,35 @@ def bound(similarity: float, bits: int, slack: float) -> int:
 
 def plan_tables(similarity: float, classes: int, recall: float = 0.985) -> tuple[int, int]:
     """Bits of a table, and tables. A table's bits grow with the logarithm of the classes,
-    so places stay small at any size, and the tables grow to keep the recall."""
-    width = max(16, min(40, classes.bit_length() - 2))
+    at every size alike, so that about 16 of evenly spread ones meet in a place, and the
+    tables grow to keep the recall of a pair at exactly `similarity`."""
+    width = max(1, classes.bit_length() - 4)
     return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** width))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
     """The rows of docs, all columns, that stay when one document is left of each group of
-    near duplicates: the one of least key (null first), then of least hash of its text.
+    near duplicates: the one of least key (null first), then of least hash of its text, then
+    of its row.
 
     Groups are components of links between SimHash fingerprints over the sets of
     `width`-word shingles, at the distance that `similarity` implies. That is too far for
-    balls around a few segments, so each class is entered in many tables of sampled bits
-    (balls of radius 0). What meets there is compared on SHORT * 64 bits with room for
-    their error, and what passes is verified on all WIDE * 64 bits (one standard deviation
-    of similarity is about 0.03 there). Places of over FEW fingerprints fetch all bits and
-    give trees of verified links only. docs is read twice.
+    balls around a few segments, so each class (of equal fingerprints, all WIDE * 64 bits) is
+    entered in many tables of sampled bits (balls of radius 0). What meets there is compared
+    on 64 bits with room for their error (three standard deviations), and what passes is
+    verified on all bits (one standard deviation of similarity is about 0.03 there). Places
+    with many links fetch all bits of the rows that have one and give trees of verified
+    links only. The texts are read once for fingerprints and shuffled once for the result.
     """
-    names = [f"f{i}" for i in range(SHORT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), width, seed) for t in batch.column(2)], "<u8").reshape(-1, WIDE)
-            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T[:SHORT]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "hash", *names, "full"])
+            found = [wide_fingerprint(t.as_py(), width, seed).astype("<u8").tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "hash", "full"])
 
     slim = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("hash"), F.col(text).cast("string").alias("text"))
-    prints = slim.mapInArrow(run, "key long, hash long, " + ", ".join(f"{n} long" for n in names) + ", full binary")
-    grouped = prints.groupBy(*names).agg(F.min(F.struct("key", "hash")).alias("best"), F.min("full").alias("full"))
-    classes = materialize(grouped.withColumn("node", F.xxhash64(*names)), "wide-classes")
+    grouped = slim.mapInArrow(run, "key long, hash long, full binary").groupBy("full").agg(F.min(F.struct("key", "hash")).alias("best"))
+    classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "wide-classes")  # numbered once, when written
     bits, tables = plan_tables(similarity, classes.count())
     rng = np.random.default_rng(seed)
     chosen = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
@@ -335,12 +375,13 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
                 some = batch.slice(at, 2048)
                 full = np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
                 all_bits = np.unpackbits(full, axis=1, bitorder="little")
+                first = pa.array(np.ascontiguousarray(full[:, :8]).view(np.int64).reshape(-1))
                 for number, own in enumerate(chosen):
                     place = all_bits[:, own] @ weights + (number << 48)
-                    yield pa.RecordBatch.from_arrays([pa.array(place), *some.columns[1:]], names=["place", "node", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(place), some.column(1), first], names=["place", "node", "first"])
 
-    entered = classes.select("full", "node", *names).mapInArrow(enter, "place long, node long, " + ", ".join(f"{n} long" for n in names))
-    found = materialize(linked(entered, bound(similarity, 64 * SHORT, 2.0), crowds_aside=True), "wide-links")
+    entered = classes.select("full", "node").mapInArrow(enter, "place long, node long, first long")
+    found = materialize(linked(entered, bound(similarity, 64, 3.0), crowds_aside=True), "wide-links")
     near = found.where("v is not null").select("u", "v").distinct()
     most = bound(similarity, 64 * WIDE, 1.0)
     crowded = found.where("v is null").select("place", F.col("u").alias("node")).join(classes.select("node", "full"), "node").select("place", "node", "full")
@@ -356,8 +397,9 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
     stars = components(both.mapInArrow(verify, "u long, v long").unionByName(trees))
     stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     rooted = classes.select("node", "best").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
-    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_key"), F.col("best.hash").alias("_hash"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_text"))
-    kept = rows.join(stay, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_hash")))
-    first = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_own", "_text").orderBy(F.lit(0))))
-    return first.where("_rank = 1").select("_row.*")
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    named = lambda k, h: (F.coalesce(k, F.lit(0)).alias("_key"), k.isNull().alias("_none"), h.alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"), *named(F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string"))))
+    kept = rows.join(stay.select(*named(F.col("best.key"), F.col("best.hash"))), ["_key", "_none", "_text"])
+    alike = Window.partitionBy("_key", "_none", "_text").orderBy(F.xxhash64("_row"))  # rows of one key and text; the join has brought them together
+    return kept.withColumn("_rank", F.row_number().over(alike)).where("_rank = 1").select("_row.*")

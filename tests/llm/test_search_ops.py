@@ -130,7 +130,7 @@ def test_one_of_each_keeps_the_links_of_crowded_places(spark):
 def test_plan_keeps_recall():
     for n in (10, 10**6, 10**9):
         width, tables = simhash.plan_tables(0.8, n)
-        assert 16 <= width <= 40 and 1 - (1 - (1 - simhash.differing(0.8)) ** width) ** tables > 0.98
+        assert n >> width <= 16 and 1 - (1 - (1 - simhash.differing(0.8)) ** width) ** tables > 0.98
     assert simhash.bound(0.8, 256, 0) == 38 and simhash.differing(1.0) == 0
 
 
