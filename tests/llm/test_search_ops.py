@@ -1,6 +1,7 @@
 """Near duplicates, classifier, secrets, decontamination and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -213,6 +214,79 @@ def test_secret_method_tells_random_tokens_from_words(spark):
     assert sum(n for i, n in got.items() if i >= 1000) == 0
 
 
+def battery(value, code):
+    """The four tests digit by digit."""
+    tail = lambda z: math.erfc(z / math.sqrt(2))
+    chi_tail = lambda x, f: tail(max(0.0, (max(x, 0.0) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f))) / 2
+    value = value.rstrip("=")
+    plain = value.lower() if code == "hex" else value if code == "base32" else value.replace("-", "+").replace("_", "/")
+    d = [secrets.ALPHABETS[code].index(c) for c in plain]
+    n, k = len(d), len(secrets.ALPHABETS[code])
+    chi = sum((d.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    groups = secrets.CLASSES[code]
+    by_class = sum((sum(a <= x < a + m for x in d) - n * m / k) ** 2 / (n * m / k) for a, m in groups)
+    high = [x >= k / 2 for x in d]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * ones * (n - ones) / n + 1
+    z_runs = 40.0 if ones in (0, n) else abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    spread = n * sum(x * x for x in d) - sum(d) ** 2
+    ring = (n * sum(a * b for a, b in zip(d, d[1:] + d[:1])) - sum(d) ** 2) / spread if spread else 0
+    z_ring = 40.0 if spread <= 0 else abs(ring + 1 / (n - 1)) / math.sqrt(n * (n - 3) / ((n - 1) ** 2 * (n + 1)))
+    return min(1.0, max(1e-12, 4 * min(chi_tail(chi, k - 1), chi_tail(by_class, len(groups) - 1), tail(z_runs), tail(z_ring))))
+
+
+def test_battery_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 7)  # tokens are taken apart in several pieces
+    rng = random.Random(8)
+    made = [("hex", "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 90)))) for _ in range(30)]
+    made += [("base32", "".join(rng.choice(secrets.ALPHABETS["base32"]) for _ in range(rng.randint(20, 90))) + "GZ==") for _ in range(30)]
+    made += [("base64", "".join(rng.choice(secrets.ALPHABETS["base64"] + "-_") for _ in range(rng.randint(20, 90))) + "zZ=") for _ in range(40)]
+    made += [("hex", "F" * 30), ("base64", "internationalizationStandards"), ("base32", "GH" * 20), ("base64", "x" * 25 + "Y"), ("hex", "0123456789abcdef" * 4)]
+    rows_in = spark.createDataFrame([(i, [(0, len(v), v)]) for i, (_, v) in enumerate(made)], "i int, tokens array<struct<start: bigint, end: bigint, value: string>>")
+    got = {r["i"]: r["t"][0] for r in rows_in.select("i", secrets.tested("tokens").alias("t")).collect()}
+    for i, (code, value) in enumerate(made):
+        assert got[i]["code"] == code and got[i]["n"] == len(value.rstrip("="))
+        want = battery(value, code)
+        assert abs(got[i]["p"] - want) <= 2e-6 + 1e-4 * want, (value, got[i]["p"], want)
+
+
+def test_cuts_match_a_plain_procedure():
+    rng = random.Random(6)
+    for _ in range(40):
+        spots = [rng.choice([rng.randrange(0, 45), rng.randrange(0, 240)]) for _ in range(rng.randint(1, 60))]
+        null = [rng.randrange(20, 240) for _ in range(rng.randint(0, 400))]
+        got = secrets.cuts([("hex", 4, b, 1) for b in spots], [("hex", 4, b, 1) for b in null])
+        allowed = [b for b in range(41) if len(spots) * (1 + sum(x <= b for x in null)) / (1 + len(null)) <= secrets.RATE * sum(x <= b for x in spots)]
+        assert got == ({("hex", 4): max(allowed)} if allowed else {})
+
+
+def test_ordinary_tokens_among_those_reported(spark, sf):
+    """Random tokens planted in real texts, beside as many identifiers and paths."""
+    rng = random.Random(3)
+    plain = [r["text"] for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect() if r["text"]]
+    names = "handleClickOutsideEvent ThisIsTheQuickBrownFox MAX_RETRY_COUNT_SECONDS src/main/java/com/example/app getUserAccountDetailsById INTERNATIONALIZATION_KEY node_modules/react-dom/index convertStringToIntegerValue test_that_the_function_works application-properties-file HttpRequestMethodNotSupported NullPointerExceptionHandler /usr/local/share/applications theQuickBrownFoxJumpsOver".split()  # noqa: E501
+    keys = ["".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(rng.choice([24, 32, 40, 64, 200]))) for _ in range(60)]
+    data = list(enumerate(plain)) + [(10_000 + i, f"{plain[i % 50][:200]} see {x} here") for i, x in enumerate(names * 4)] + [(20_000 + i, f"{plain[i % 50][:150]} use {x} here") for i, x in enumerate(keys)]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.scan(table(spark, data)).collect()}
+    right = sum(got[20_000 + i] > 0 for i in range(len(keys)))
+    wrong = sum(got[10_000 + i] > 0 for i in range(4 * len(names)))
+    assert right >= 0.9 * len(keys) and wrong <= 0.1 * (right + wrong)
+    assert sum(got[i] for i in range(len(plain))) <= 0.05 * len(keys)
+
+
+def test_long_texts_of_many_tokens(spark):
+    """Places stay right over several levels of sums, and one token may be the whole text."""
+    rng = random.Random(5)
+    letters = secrets.ALPHABETS["base64"]
+    many = "é ".join("".join(rng.choice(letters) for _ in range(24)) + (" token=abcdefg" if i % 9 == 0 else "") for i in range(9000))
+    one = "".join(rng.choice(letters) for _ in range(300_000))
+    found = {r["doc_id"]: r for r in secrets.scan(table(spark, [(1, many), (2, one), *[(10 + i, sentence(i, 90)) for i in range(300)]])).collect()}
+    assert found[1]["n_assign"] == 1000 and found[1]["base_sha256"] == hashlib.sha256(base_spans(many).encode()).hexdigest()
+    spans = [x.split(":") for x in found[1]["spans"].split(",") if x.startswith("random")]
+    assert len(spans) > 8300 and all(re.fullmatch(secrets.TOKEN, many[int(a) : int(b)]) for _, a, b in spans)
+    assert found[2]["spans"] == f"random:0:{len(one)}"
+
+
 def distance(a, b):
     """Least edit distance of a to a piece of b."""
     row = [0] * (len(b) + 1)
