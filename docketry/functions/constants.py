@@ -29,6 +29,8 @@ VERBS = (
 )
 #: The first fifteen, before "that", in the free-standing form.
 THAT_VERBS = VERBS[:15]
+# Further verbs of the wide variant.
+MORE_VERBS = ("establishing", "requiring", "permitting", "allowing", "prohibiting")
 
 # Reporters and the folders of their cases.
 REPORTER_SLUGS = {
@@ -80,6 +82,7 @@ SPLIT_WORD = r"(\w+)-\s+(\w+)"
 SPLIT_LINE_WORD = r"(\w+)-\s*\n\s*(\w+)"
 BRACKETED = r"\[[^\]]*\]"
 TAG = "<[^>]+>"
+ANNOTATION = r"(?i)^\([^)]*(?:added|omitted|altered|supplied|cleaned up|quotation marks?|citations?|internal|emphasis|footnote)[^)]*\)\s*\.?\s*"
 SIC = r"(?i)\s*\[sic\]\s*"
 VERSUS = r"\s+v\.?\s+"
 CASES_PART = r"(?is)Cases\s*\n(.*?)(?:Statutes|Rules|Other|\z)"

@@ -6,12 +6,15 @@ ASCII classes that other engines' regular expressions share.
 
 from __future__ import annotations
 
+import html
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.constants import ABBREVIATIONS, BRACKETED, CITATION_CORE, MORE_ABBREVIATIONS, SENTENCE_GAP, SIGNALS, SPLIT_LINE_WORD, SPLIT_WORD, TAG
+from docketry.functions.constants import ABBREVIATIONS, ANNOTATION, BRACKETED, CITATION_CORE, MORE_ABBREVIATIONS, SENTENCE_GAP, SIGNALS, SPLIT_LINE_WORD, SPLIT_WORD, TAG
 
 OPEN, CLOSE = "“", "”"
 QUOTES = f'["{OPEN}{CLOSE}]'
@@ -74,9 +77,17 @@ def unpunctuated(text: Column, unicode: bool = True) -> Column:
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&sect;": "§", "&mdash;": "—", "&ndash;": "–", "&ldquo;": OPEN, "&rdquo;": CLOSE, "&lsquo;": "‘", "&rsquo;": "’", "&amp;": "&"}
 
 
-def html_text(html: Column, unicode: bool = True) -> Column:
-    """Tags become spaces, entities characters, white space single spaces."""
-    out = F.regexp_replace(html, TAG, " ")
+def _unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(html.unescape, na_action="ignore")
+
+
+def html_text(page: Column, unicode: bool = True, every_entity: bool = False) -> Column:
+    """Tags become spaces, entities characters, white space single spaces. The entities are
+    those of ENTITIES, native; with every_entity all named and numeric ones, by Arrow."""
+    out = F.regexp_replace(page, TAG, " ")
+    if every_entity:
+        return collapse(F.pandas_udf(_unescaped, "string")(out), unicode)
     for entity, character in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(character))
     return collapse(out, unicode)
@@ -102,12 +113,17 @@ def preview(text: Column, length: int) -> Column:
 INITIALS = r"(?<=(?<![\p{L}\p{N}.\-])[UNSEWunsew]\.)(?=\s*[SYEWTCsyewtc]\.)"
 
 
+def _boundary(ahead: str) -> str:
+    """Between sentences: after . ! or ?, the space and before one of `ahead`, unless an
+    abbreviation or initials end there."""
+    guard = "".join(f"(?<!(?<![\\p{{L}}\\p{{N}}.\\-])(?i:{alternatives(g)}))" for g in _by_length(ABBREVIATIONS))
+    return rf"(?<=[.!?]){guard}(?!{INITIALS})\s*(?=[{ahead}])"
+
+
 def sentences(text: Column) -> Column:
     """Array of sentences. A boundary stands after . ! or ? before a capital letter or a
     quotation mark (a closing one too), unless an abbreviation or initials end there."""
-    guard = "".join(f"(?<!(?<![\\p{{L}}\\p{{N}}.\\-])(?i:{alternatives(g)}))" for g in _by_length(ABBREVIATIONS))
-    boundary = rf"(?<=[.!?]){guard}(?!{INITIALS})\s*(?=[\p{{Lu}}\"'“”‘’])"
-    parts = F.transform(F.split(text, boundary), lambda s: strip(s))
+    parts = F.transform(F.split(text, _boundary(r"\p{Lu}\"'“”‘’")), lambda s: strip(s))
     return F.filter(parts, lambda s: F.length(s) > 0)
 
 
@@ -146,12 +162,34 @@ def quotations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f'{QUOTES}([^"{OPEN}{CLOSE}]+){QUOTES}'), F.lit(1))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(numbers: Column, step: int = 64) -> Column:
+    """For each of an array of whole numbers, the sum up to and with it; by blocks of `step`,
+    so that thousands of numbers cost little more than a few."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)
+    block = lambda i: F.floor(i / step).cast("int")
+
+    def of(own: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.greatest(block(F.size(own) - 1), F.lit(0))), lambda b: total(F.slice(own, b * step + 1, F.lit(step))))
+        return _once(sums, lambda made: _once(F.transform(made, lambda x, i: total(F.slice(made, F.lit(1), i))), lambda before: F.transform(own, lambda x, i: before[block(i)] + total(F.slice(own, block(i) * step + 1, i % step + 1)))))
+
+    return _once(numbers, of)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """The pieces between a pattern's matches, the matches, and where each match ends."""
+    cut = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return _once(cut, lambda c: F.struct(c["pieces"].alias("pieces"), c["found"].alias("found"), running(F.transform(c["found"], lambda m, i: (F.length(c["pieces"][i]) + F.length(m)).cast("long"))).alias("ends")))
+
+
 def quoted_spans(text: Column) -> Column:
-    """array<struct<text, start, end>> of the quotations, marks included, in code points."""
-    q = f'{QUOTES}[^"{OPEN}{CLOSE}]+{QUOTES}'
-    found, pieces = F.regexp_extract_all(text, F.lit(q), F.lit(0)), F.split(text, q, -1)
-    before = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(found, lambda m, i: F.struct(m.alias("quoted"), before(i).alias("start"), (before(i) + F.length(m)).alias("end")))
+    """array<struct<quoted, start, end>> of the quotations, marks included, in code points."""
+    cut = _pieces(text, f'{QUOTES}[^"{OPEN}{CLOSE}]+{QUOTES}')
+    return _once(cut, lambda c: F.transform(c["found"], lambda m, i: F.struct(m.alias("quoted"), (c["ends"][i] - F.length(m)).cast("int").alias("start"), c["ends"][i].cast("int").alias("end"))))
 
 
 def quote_share(text: Column) -> Column:
@@ -170,8 +208,8 @@ def is_quote(text: Column, kind: Column, share: float = 0.4) -> Column:
 
 
 def without_annotation(text: Column) -> Column:
-    """Without a leading "(emphasis added)" and the like."""
-    return F.regexp_replace(text, r"(?i)^\([^)]*(?:added|omitted|supplied|altered|original|quotation|citation)[^)]*\)\s*\.?\s*", "")
+    """Without a leading "(emphasis added)", "(cleaned up)" and the like."""
+    return F.regexp_replace(text, ANNOTATION, "")
 
 
 _PAGES = r"\d+(?:[–-]\d+)?"
@@ -204,16 +242,31 @@ def content_type(text: Column, in_block: Column) -> Column:
 
 
 def boundaries(text: Column) -> Column:
-    """Offsets just after each sentence's closing mark and the space behind it."""
-    parts = sentences(text)
-    return F.transform(parts, lambda s, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x) + 1))
+    """Offsets (code points) just after each sentence's closing mark and the space behind it,
+    where a capital follows."""
+    return _once(_pieces(text, _boundary(r"\p{Lu}")), lambda c: c["ends"])
+
+
+def _closed(text: Column, end: Column) -> Column:
+    """What stands before `end` closes a sentence, whatever follows there."""
+    guard = "|".join(alternatives(g) for g in _by_length(ABBREVIATIONS))
+    tail = F.regexp_replace(F.substring(text, F.greatest(end - 39, F.lit(1)), F.least(end, F.lit(40))), r"\s+$", "")
+    return tail.rlike(r"[.!?]$") & ~tail.rlike(rf"(?<![\p{{L}}\p{{N}}.\-])(?i:{guard})$")
+
+
+def unit_start_in(found: Column, text: Column, end: Column, back: int = 2, window: int | None = None) -> Column:
+    """unit_start with the text's boundaries at hand."""
+    before = F.filter(found, lambda b: b < end)
+    closing = F.when(_closed(text, end), F.lit(1)).otherwise(F.lit(0))  # the boundary at `end` itself
+    start = F.coalesce(F.try_element_at(before, closing - back), F.lit(0).cast("long")) if back > 1 else F.when(closing == 1, end).otherwise(F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit(0).cast("long")))
+    return (F.greatest(start, end - window, F.lit(0)) if window else start).cast("int")
 
 
 def unit_start(text: Column, end: Column, back: int = 2, window: int | None = None) -> Column:
-    """Where the unit before `end` begins: the back-th boundary before it (0 without one),
-    at most `window` characters away."""
-    found = F.coalesce(F.try_element_at(F.filter(boundaries(text), lambda b: b < end), F.lit(-back)), F.lit(0))
-    return F.greatest(found, end - window, F.lit(0)) if window else found
+    """Where the unit before `end` begins: the back-th boundary from there backwards (0
+    without one), at most `window` characters away. A closing mark right before `end`
+    counts as a boundary, whatever follows it."""
+    return _once(boundaries(text), lambda found: unit_start_in(found, text, end, back, window))
 
 
 def search_chunks(text: Column, most: int = 50) -> Column:

@@ -29,16 +29,17 @@ def margins(blocks: DataFrame, single_indent: float = 36.0, least_length: int =
 
 def body_blocks(blocks: DataFrame, margin: DataFrame, sections: DataFrame, headings: DataFrame | None = None, far: float = 100.0) -> DataFrame:
     """Text blocks of the section, without headers, footers and what lies outside the
-    headings. headings: brief_id, start_y (on the first page), end_page, end_y."""
+    headings. headings: brief_id, start_y (on the first page), end_marks (page, y: where a
+    page ends, on any page)."""
     own = blocks.join(sections.select("brief_id", "start_page", "end_page"), "brief_id").join(margin, "brief_id", "left")
     own = own.where((F.col("block_type") == 0) & F.col("page_num").between(F.col("start_page"), F.col("end_page")))
     own = own.where(F.col("body_margin").isNull() | (F.abs(F.col("x0") - F.col("body_margin")) <= far))
     if headings is None:
         return own
-    own = own.join(headings.select("brief_id", "start_y", F.col("end_page").alias("_end"), "end_y"), "brief_id", "left")
+    own = own.join(headings.select("brief_id", "start_y", "end_marks"), "brief_id", "left")
     after = F.coalesce((F.col("page_num") > F.col("start_page")) | (F.col("y0") > F.col("start_y")), F.lit(True))
-    before = F.coalesce((F.col("page_num") < F.col("_end")) | (F.col("y0") < F.col("end_y")), F.lit(True))
-    return own.where(after & before).drop("start_y", "_end", "end_y")
+    beyond = F.exists("end_marks", lambda m: (m["page"] == F.col("page_num")) & (F.col("y0") >= m["y"]))
+    return own.where(after & ~F.coalesce(beyond, F.lit(False))).drop("start_y", "end_marks")
 
 
 def quote_runs(blocks: DataFrame, near: float = 3.0, least: int = 2) -> DataFrame:

@@ -37,6 +37,19 @@ def heading_pattern(heading: str, prefix: bool = False) -> str:
     return rf"(?im)^\s*{words}\b[^\n]*$" if prefix else rf"(?im)^\s*{words}\s*$"
 
 
+def escaped(text: F.Column) -> F.Column:
+    """A text as a pattern for itself."""
+    return F.regexp_replace(text, r"([.\\\\+*?\[\]^$(){}|])", r"\\$1")
+
+
+def heading_line(heading: F.Column, prefix: F.Column | None = None) -> F.Column:
+    """heading_pattern of a column, for the functions that take a pattern in a column; null
+    without a heading. Lines end with new lines alone."""
+    words = escaped(heading)
+    alone, begins = F.concat(F.lit(r"(?imd)^\s*"), words, F.lit(r"\s*$")), F.concat(F.lit(r"(?imd)^\s*"), words, F.lit(r"\b[^\n]*$"))
+    return alone if prefix is None else F.when(F.coalesce(prefix, F.lit(False)), begins).otherwise(alone)
+
+
 def find_sections(pages: DataFrame, start: str, ends: Sequence[str], prefix: bool = False) -> DataFrame:
     """brief_id, start_page, end_page, end_heading of the section under a heading.
 
@@ -59,7 +72,7 @@ def first_section(pages: DataFrame, choices: Sequence[tuple[str, Sequence[str],
     """The first of several headings that a brief has: (start, ends, prefix) in order of choice."""
     found = None
     for rank, (start, ends, prefix) in enumerate(choices):
-        one = find_sections(pages, start, ends, prefix).withColumns({"choice": F.lit(rank), "heading": F.lit(start)})
+        one = find_sections(pages, start, ends, prefix).withColumns({"choice": F.lit(rank), "heading": F.lit(start), "prefix": F.lit(prefix), "ends": F.array(*map(F.lit, ends)).cast("array<string>")})
         found = one if found is None else found.unionByName(one)
     best = Window.partitionBy("brief_id").orderBy("choice")
     return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
@@ -71,14 +84,20 @@ AUTHORITIES = (("Index of Authorities", ("Statement of the Case", "Argument"), F
 
 
 def section_text(pages: DataFrame, sections: DataFrame, separator: str = "\n") -> DataFrame:
-    """Text of the section's pages, cut after its heading and before its end heading."""
-    own = pages.join(sections, "brief_id").where(F.col("page_num").between(F.col("start_page"), F.col("end_page")))
-    whole = own.groupBy("brief_id", "heading", "end_heading").agg(ordered_join("text", ["page_num"], separator).alias("text"))
-    line = lambda c: F.concat(F.lit(r"(?ims)^\s*"), F.regexp_replace(c, r"([.\\+*?\[\]^$(){}|])", r"\\$1"), F.lit(r"\b[^\n]*$"))
-    body = F.regexp_replace("text", F.concat(F.lit("(?s)^.*?(?="), line(F.col("heading")), F.lit(")")), F.lit(""))
-    body = F.regexp_replace(body, F.concat(F.lit("(?s)^"), F.regexp_replace(line(F.col("heading")), F.lit(r"^\(\?ims\)\^"), F.lit("(?im)"))), F.lit(""))
-    cut = F.when(F.col("end_heading").isNull(), body).otherwise(F.regexp_replace(body, F.concat(line(F.col("end_heading")), F.lit(".*")), F.lit("")))
-    return whole.select("brief_id", F.trim(cut).alias("text"))
+    """Text of the section's pages. The first page is cut after the first line that is the
+    section's heading (or begins with it, where the section was found by prefix), the last
+    one before the first line that is the end heading; other lines stay, whatever they
+    begin with."""
+    prefix = F.col("prefix") if "prefix" in sections.columns else F.lit(False)
+    own = sections.select("brief_id", "heading", "end_heading", "start_page", "end_page", prefix.alias("_prefix"))
+    own = pages.join(own, "brief_id").where(F.col("page_num").between(F.col("start_page"), F.col("end_page")))
+    after = F.split("text", heading_line(F.col("heading"), F.col("_prefix")), 2)
+    text = F.when(F.col("page_num") == F.col("start_page"), F.element_at(after, -1)).otherwise(F.col("text"))
+    own = own.withColumn("text", text)
+    before = F.split("text", heading_line(F.col("end_heading")), 2)
+    text = F.when((F.col("page_num") == F.col("end_page")) & F.col("end_heading").isNotNull(), before[0]).otherwise(F.col("text"))
+    whole = own.withColumn("text", text).groupBy("brief_id").agg(ordered_join("text", ["page_num"], separator).alias("text"))
+    return whole.select("brief_id", F.trim("text").alias("text"))
 
 
 def cases_part(text: F.Column) -> F.Column:

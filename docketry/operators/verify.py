@@ -73,18 +73,26 @@ def case_text(cases: DataFrame, html: DataFrame | None = None) -> DataFrame:
     own = cases.select("path", F.nullif(F.array_join(texts, "\n\n"), F.lit("")).alias("_json"))
     if html is None:
         return own.select("path", F.col("_json").alias("text"))
-    other = html.select(F.regexp_replace(F.regexp_replace("path", "/html/", "/json/"), r"\.html$", ".json").alias("path"), T.html_text(F.col("value")).alias("_html"))
+    other = html.select(F.regexp_replace(F.regexp_replace("path", "/html/", "/json/"), r"\.html$", ".json").alias("path"), T.html_text(F.col("value"), every_entity=True).alias("_html"))
     return own.join(other, "path", "left").select("path", F.coalesce("_json", "_html").alias("text"))
 
 
 def case_pages(html: DataFrame, window: int = 5000) -> DataFrame:
-    """path, page, text: a case's pages, cut once at their anchors, for an equi-join on the
-    page. The last page, which has no successor, ends after `window` characters."""
-    pieces = F.split("value", r'(?=<a[^>]*\bid="p\d+")')
-    rows = html.select("path", F.size(pieces).alias("of"), F.posexplode(pieces).alias("n", "piece")).where(F.col("piece").rlike(r'^<a[^>]*\bid="p\d+"'))
-    page = F.regexp_extract("piece", r'^<a[^>]*\bid="p(\d+)"', 1).cast("int")
-    piece = F.when(F.col("n") == F.col("of") - 1, F.left("piece", F.lit(window))).otherwise(F.col("piece"))
-    return rows.select("path", page.alias("page"), T.html_text(piece).alias("text"))
+    """path, page, text: a case's pages, cut once at their anchors (id="pN", or *N as their
+    text), for an equi-join on the page. A page goes to the next one's anchor; where the next
+    anchor is not the next page's, or there is none, it is `window` characters from its own
+    anchor on. The first anchor of a page counts."""
+    anchor = r'(?s)^(<a[^>]*\bid="p(\d+)"[^>]*>.*?</a>|<a[^>]*>\*(\d+)</a>)'
+    pieces = F.split("value", r'(?=<a[^>]*\bid="p\d+")|(?=<a[^>]*>\*\d+</a>)')
+    number = lambda piece: F.coalesce(F.nullif(F.regexp_extract(piece, anchor, 2), F.lit("")), F.nullif(F.regexp_extract(piece, anchor, 3), F.lit(""))).cast("int")
+    rows = html.select("path", F.col("value").alias("_whole"), F.posexplode(F.transform(pieces, lambda x: F.struct(x.alias("piece"), number(x).alias("page")))).alias("n", "p")).select("path", "_whole", "n", "p.*")
+    by_place = Window.partitionBy("path").orderBy("n")
+    behind = F.length("_whole") - F.sum(F.length("piece")).over(by_place.rowsBetween(0, Window.unboundedFollowing))
+    first = F.row_number().over(Window.partitionBy("path", "page").orderBy("n"))
+    rows = rows.withColumns({"_next": F.lead("page").over(by_place), "_from": behind, "_first": first}).where("page IS NOT NULL AND _first = 1")
+    far = F.substring("_whole", F.col("_from") + 1, F.lit(window))
+    piece = F.when(F.col("_next") == F.col("page") + 1, F.col("piece")).otherwise(far)
+    return rows.select("path", "page", T.html_text(piece, every_entity=True).alias("text"))
 
 
 def first_local(citations: Column) -> Column:

@@ -23,12 +23,16 @@ class Parsed:
 
 
 def heading_positions(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """brief_id, start_y of the heading on the first page, end_page and end_y of the end's."""
-    line = lambda c: F.concat(F.lit(r"(?im)^\s*"), F.regexp_replace(c, r"([.\\+*?\[\]^$(){}|])", r"\\$1"), F.lit(r"\b[^\n]*$"))
-    own = blocks.where("block_type = 0").join(found.select("brief_id", "start_page", F.col("end_page").alias("_last"), "heading", "end_heading"), "brief_id")
-    start = F.when((F.col("page_num") == F.col("start_page")) & F.regexp(F.col("text"), line(F.col("heading"))), F.col("y0"))
-    end = F.when(F.col("end_heading").isNotNull() & (F.col("page_num") == F.col("_last")) & F.regexp(F.col("text"), line(F.col("end_heading"))), F.col("y0"))
-    return own.groupBy("brief_id").agg(F.min(start).alias("start_y"), F.min(F.when(F.col("end_heading").isNotNull(), F.col("_last"))).alias("end_page"), F.min(end).alias("end_y"))
+    """brief_id, start_y of the section's heading on its first page, and end_marks: for each
+    page of the section with one of its end headings, the first one's y0. A heading is a line
+    of its own; one found by prefix may go on."""
+    ends = F.concat(F.lit(r"(?imd)^\s*(?:"), F.array_join(F.transform("ends", sections.escaped), "|"), F.lit(r")\s*$"))
+    own = found.select("brief_id", "start_page", F.col("end_page").alias("_last"), sections.heading_line(F.col("heading"), F.col("prefix")).alias("_start"), F.when(F.size("ends") > 0, ends).alias("_end"))
+    own = blocks.where("block_type = 0").join(own, "brief_id").where("page_num BETWEEN start_page AND _last")
+    start = F.when((F.col("page_num") == F.col("start_page")) & F.regexp(F.col("text"), F.col("_start")), F.col("y0"))
+    by_page = own.groupBy("brief_id", "page_num").agg(F.min(start).alias("start_y"), F.min(F.when(F.regexp(F.col("text"), F.col("_end")), F.col("y0"))).alias("end_y"))
+    marks = F.collect_list(F.when(F.col("end_y").isNotNull(), F.struct(F.col("page_num").alias("page"), F.col("end_y").alias("y"))))
+    return by_page.groupBy("brief_id").agg(F.min("start_y").alias("start_y"), marks.alias("end_marks"))
 
 
 def units_of(paragraphs: DataFrame) -> DataFrame:
@@ -69,9 +73,10 @@ def items(pages: DataFrame, choices=sections.ARGUMENT) -> DataFrame:
     whole = sections.section_text(pages, found).withColumn("text", T.recogniser_text(F.col("text"), dashes=False))
     rows = whole.withColumn("_starts", T.boundaries(F.col("text"))).select("brief_id", "text", "_starts", F.posexplode(citations(F.col("text"))).alias("seq", "c"))
     rows = rows.select("brief_id", "text", "_starts", (F.col("seq") + 1).alias("seq"), "c.start", "c.end", "c.paren_end", "c.cite_type", F.col("c.text").alias("cite_text"))
-    two_back = F.coalesce(F.try_element_at(F.filter("_starts", lambda b: b < F.col("start")), F.lit(-2)), F.lit(0))
+    two_back = T.unit_start_in(F.col("_starts"), F.col("text"), F.col("start"))
     rows = resolve.preceding_start(rows.withColumn("sentence_start", two_back))
-    before = T.without_annotation(T.strip(F.substring("text", F.col("actual_start") + 1, F.greatest(F.col("start") - F.col("actual_start"), F.lit(0)))))
+    between = F.substring("text", F.col("actual_start") + 1, F.greatest(F.col("start") - F.col("actual_start"), F.lit(0)))
+    before = T.without_annotation(F.regexp_replace(T.strip(between), r"^[.,;:!?\s]+", ""))
     rows = rows.withColumn("_before", before).withColumns({"signal": T.signal_at_end(F.col("_before")), "parenthetical": that_parenthetical(F.col("text"), F.col("end"))})
     rows = rows.withColumn("proposition", T.without_signal(F.col("_before"))).withColumn("is_string_cite", T.is_string_cite(F.col("proposition")))
     rows = resolve.string_groups(rows)

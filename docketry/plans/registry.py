@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions import names
 from docketry.functions import text as T
 from docketry.functions.citations import citations
-from docketry.functions.constants import REPORTER_SLUGS, SIGNALS
+from docketry.functions.constants import ABBREVIATIONS, REPORTER_SLUGS, SIGNALS
 from docketry.operators import annotate, layout, propose, report, resolve, sections, verify
 from docketry.sources.views import in_duckdb, in_spark
 
@@ -380,11 +380,6 @@ def user_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.user_briefs(users.join(F.broadcast(first), F.col("email") == F.col("_email")).drop("_email"), briefs, F.col("email"))
 
 
-@query("sentence_split")
-def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence"))
-
-
 @query("citation_recogniser")
 def citation_recogniser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations in texts made from orders and customers."""
@@ -415,3 +410,74 @@ def work_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = Window.partitionBy("brief_id", "cluster_id").orderBy("seq")
     rows = in_spark(spark, sf_dir, _PATHS).where("cluster_id IS NOT NULL")
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("brief_id", "cluster_id", "seq")
+
+
+#: Pages of a brief made of turns: a heading on the second, lines that only begin with one on all.
+_BRIEF_PAGES = """SELECT conv_id AS brief_id, CAST(turn AS INT) AS page_num, concat(CASE WHEN turn = 1 THEN concat('Contents of this', chr(10), '  ARGUMENT ') ELSE 'Argument goes on' END, chr(10), replace(text, chr(10), ' '), chr(10),
+  'Conclusion of law follows.', chr(10), CASE WHEN turn >= 4 THEN concat('conclusion', chr(10)) ELSE '' END, 'Said by ', role) AS text FROM {conversations}"""
+
+
+@query(
+    "section_slice",
+    rf"""WITH p AS ({_BRIEF_PAGES}), s AS (SELECT brief_id, min(page_num) FILTER (regexp_matches(text, '(?im)^\s*argument\s*$')) AS a, max(page_num) AS z FROM p GROUP BY brief_id),
+    e AS (SELECT s.brief_id, a, z, min(page_num) FILTER (page_num >= a AND regexp_matches(text, '(?im)^\s*conclusion\s*$')) AS c FROM s JOIN p USING (brief_id) WHERE a IS NOT NULL GROUP BY ALL),
+    x AS (SELECT brief_id, page_num, c, CASE WHEN page_num = a THEN regexp_extract(text, '(?ims)^\s*argument\s*$(.*)', 1) ELSE text END AS text FROM p JOIN e USING (brief_id) WHERE page_num BETWEEN a AND coalesce(c, z)),
+    y AS (SELECT brief_id, page_num, CASE WHEN page_num = c THEN regexp_extract(text, '(?ims)^(.*?)^\s*conclusion\s*$', 1) ELSE text END AS text FROM x)
+    SELECT brief_id, trim(string_agg(text, chr(10) ORDER BY page_num), ' ') AS text FROM y GROUP BY brief_id""",
+)
+def section_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text between two headings; lines that merely begin with one stay."""
+    pages = in_spark(spark, sf_dir, _BRIEF_PAGES)
+    return sections.section_text(pages, sections.first_section(pages, [("Argument", ["Conclusion"], False)]))
+
+
+_ABBREVIATED = "(^|[^\\p{L}\\p{N}.\\-])(?i:" + "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS if a.endswith(".")) + ")$"
+
+
+def _marked(ahead: str) -> str:
+    """CTEs: q has the runs of a text up to each closing mark, in order, where they end, and
+    whether a sentence ends there."""
+    return rf"""p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$') AS l FROM documents)),
+    o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY n) AS upto, concat(lag(piece, 3, '') OVER w, lag(piece, 2, '') OVER w, lag(piece, 1, '') OVER w, piece) AS tail, lead(piece) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    q AS (SELECT *, coalesce(regexp_matches(piece, '[.!?]$') AND regexp_matches(nxt, '^[ \t\n\x0b\f\r]*[{ahead}]') AND NOT regexp_matches(right(tail, 40), '{_ABBREVIATED}')
+      AND NOT (regexp_matches(right(tail, 40), '(^|[^\p{{L}}\p{{N}}.\-])[UNSEWunsew]\.$') AND regexp_matches(nxt, '^[ \t\n\x0b\f\r]*[SYEWTCsyewtc]\.')), false) AS ends FROM o)"""
+
+
+@query(
+    "unit_offsets",
+    rf"""WITH {_marked(r"\p{Lu}")}, b AS (SELECT doc_id, list((upto + length(regexp_extract(nxt, '^[ \t\n\x0b\f\r]*')))::BIGINT ORDER BY n) AS l FROM q WHERE ends GROUP BY doc_id),
+    d AS (SELECT doc_id, text, quarter, (length(text) * quarter // 4)::INT AS e FROM documents, unnest([1, 2, 3, 4]) AS u(quarter)),
+    t AS (SELECT d.*, list_filter(coalesce(l, []), lambda x: x < e) AS l, regexp_replace(substr(text, greatest(e - 39, 1), least(e, 40)), '[ \t\n\x0b\f\r]+$', '') AS z FROM d LEFT JOIN b USING (doc_id))
+    SELECT doc_id, quarter::INT AS quarter, coalesce(list_extract(l, CASE WHEN regexp_matches(z, '[.!?]$') AND NOT regexp_matches(z, '{_ABBREVIATED}') THEN -1 ELSE -2 END), 0)::INT AS unit_start FROM t WHERE e IS NOT NULL""",
+)
+def unit_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the unit before each quarter of a text begins."""
+    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("quarter"))
+    end = F.floor(F.length("text") * F.col("quarter") / 4).cast("int")
+    return rows.select("doc_id", "quarter", T.unit_start(F.col("text"), end).alias("unit_start"))
+
+
+_CASE_HTML = """SELECT page_id AS path, 1 + page_id % 90 AS n, concat('head <a id="p', CAST(1 + page_id % 90 AS STRING), '">*', CAST(1 + page_id % 90 AS STRING), '</a> ', html, ' <a class="x" id="p', CAST(2 + page_id % 90 AS STRING), '">*', CAST(2 + page_id % 90 AS STRING), '</a> ', url,
+  ' <a href="x">*', CAST(5 + page_id % 90 AS STRING), '</a> ', html) AS value FROM {pages}"""
+_PLAIN_HTML = "trim(regexp_replace(" + "replace(" * len(T.ENTITIES) + r"regexp_replace({0}, '<[^>]+>', ' ', 'g')" + "".join(", '{}', '{}')".format(k, v.replace("'", "''")) for k, v in T.ENTITIES.items()) + r", '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(
+    "case_pages",
+    rf"""WITH h AS ({_CASE_HTML}), m AS (SELECT path, unnest([n, n + 1, n + 4]) AS page, unnest([
+      regexp_extract(value, '(?s)^head (<a id.*)<a class="x" id="p\d+', 1), substr(regexp_extract(value, '(?s)(<a class="x" id="p\d+.*)$', 1), 1, 5000), substr(regexp_extract(value, '(?s)^.*(<a href="x">\*\d+</a>.*)$', 1), 1, 5000)]) AS piece FROM h)
+    SELECT path, page::INT AS page, {_PLAIN_HTML.format("piece")} AS text FROM m""",
+)
+def case_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of cases between their anchors; the window where the next page's is missing."""
+    return verify.case_pages(in_spark(spark, sf_dir, _CASE_HTML))
+
+
+@query(
+    "sentence_split",
+    rf"""WITH {_marked(r'''\p{Lu}"''“”‘’''')}, g AS (SELECT doc_id, n, piece, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM q),
+    s AS (SELECT doc_id, run, regexp_replace(string_agg(piece, '' ORDER BY n), '^[\t\n\x0b\f\r\x{{85}}\p{{Z}}]+|[\t\n\x0b\f\r\x{{85}}\p{{Z}}]+$', '', 'g') AS sentence FROM g GROUP BY doc_id, run)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1)::INT AS sent_idx, sentence FROM s WHERE sentence <> ''""",
+)
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence"))
