@@ -42,6 +42,8 @@ from docketry.llm.base import materialize
 from docketry.llm.components import components
 
 BITS = 64
+#: Bits of a segment, at least, where their number is chosen.
+NARROWEST = 16
 #: Fingerprints that meet in one place before it is split by further bits.
 LARGE = 16384
 #: Up to so many fingerprints, a place is compared beside others.
@@ -266,8 +268,9 @@ def linked(rows: DataFrame, radius: int, own: list[tuple[int, int]] | None = Non
 
 def plan_segments(radius: int, classes: int, meeting: int = 16) -> int:
     """The most segments of which each is wide enough that about `meeting` of so many even
-    fingerprints share a value; two, with balls, at any size beyond."""
-    for count in range(radius + 1, 2, -1):
+    fingerprints share a value; two, with balls, at any size beyond. None has less than
+    NARROWEST bits, as its values are what the work is dealt by."""
+    for count in range(min(radius + 1, BITS // NARROWEST), 2, -1):
         if classes >> BITS // count < meeting:
             return count
     return min(2, radius + 1)
