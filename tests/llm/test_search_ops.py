@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -335,6 +336,30 @@ def test_decontamination_finds_parts_of_items(spark):
     assert not any(got[100 + i]["contaminated"] for i in range(20))
 
 
+def test_decontamination_of_texts_that_repeat_themselves():
+    """Memory and time stay bounded where every q-gram stands at many places of an item."""
+    index = decontaminate.Index([(1, "abcde fgh " * 200), (2, "x" * 2000), (3, "one two three four five six seven")], part=decontaminate.PART)
+    assert len(index.item) < 5000  # places that add no band are left out
+    tracemalloc.start()
+    found = index.find("abcde fgh " * 20_000 + "one two three four five six seven " + "x" * 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and {m[0] for m in found} == {1, 2, 3} and all(m[3] == 0 for m in found if m[0] == 3)
+    assert not index.find("abcde fgq " * 2000)
+
+
+def test_decontamination_in_rounds(spark, monkeypatch):
+    """A benchmark of more blocks than are sent out at once gives the same matches."""
+    monkeypatch.setattr(decontaminate, "TOGETHER", 2)
+    items = [(i, sentence(500 + i, 30)) for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    data = [(i, f"{sentence(i, 20)} {items[i % 40][1]} {sentence(i + 1, 10)} {items[(i * 7) % 40][1]}") for i in range(30)] + [(100, None), (101, sentence(9, 60)), (102, f"a {items[3][1]}"), (102, f"a {items[3][1]}")]
+    whole = sorted(map(str, decontaminate.decontaminate(table(spark, data), benchmark).collect()))
+    rounds = sorted(map(str, decontaminate.decontaminate(table(spark, data), benchmark, block=1500).collect()))
+    assert rounds == whole and sum("contaminated=True" in x for x in whole) == 32
+    assert decontaminate.clean(table(spark, data), benchmark, block=1500).count() == 2
+
+
 def test_align_on_the_edges():
     codes = decontaminate.codes
     assert decontaminate.align(codes("abc"), codes("abc"), 0, 0) == (0, 3)
