@@ -2,7 +2,8 @@
 
 Documents are aggregated by membership pattern (the sorted set of sources that a
 document belongs to). Each pattern offers its words once for nothing and again at rising
-cost per repetition; each source demands its target. The flow of least cost decides how
+cost per repetition; each source demands its target. The flow of least cost, solved on the
+driver over the patterns (not the documents; 50,000 overlapping ones take seconds), decides how
 many words of each pattern the mix takes, and seeded documents of the pattern are then
 selected: all of them `full` times, and those that come first by seeded digest once more.
 
@@ -11,16 +12,14 @@ in proportion; a target stops at `limit` times its source's words and the excess
 shared again by weight until none is above.
 
 Defined cases: a null source is a source of its own; a null or wordless text has size 0
-and takes 0; rows that share a key are rows of their own (ties fall by key, then size);
+and takes 0; a text of any length counts whole; rows that share a key are rows of their own (ties fall by key, then size);
 no sources, no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 from collections.abc import Sequence
-from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,10 +32,8 @@ WEIGHTS = (1, 2, 3)
 LIMIT = 3
 #: Cost of a word's first, second and third use: convex.
 COSTS = (0, 1, 3)
-#: Hex digits of the seeded digest that name a bin of a pattern.
-BIN_DIGITS = 3
-#: The flow is solved on the driver; more distinct patterns than this are refused, unless
-#: each has one source: then sources are apart and need no flow.
+#: From more sources than this on, a table of single sources is solved without the flow (to
+#: the same end), and from more patterns on, the plan is not broadcast.
 MAX_PATTERNS = 50_000
 
 
@@ -73,54 +70,95 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, limit: int = LIM
     return open_.select("source", "source_size", "rank", "weight", F.when(F.col("capped"), cap.cast("double")).otherwise(share).alias("target"))
 
 
+class Flow:
+    """Maximum flow by blocking flows (Dinic), on arrays; capacities may grow between runs."""
+
+    def __init__(self, nodes: int):
+        self.arcs: list[list[int]] = [[] for _ in range(nodes)]
+        self.head: list[int] = []
+        self.left: list[int] = []  # of arc i; its reverse is i ^ 1
+
+    def arc(self, a: int, b: int, capacity: int) -> int:
+        self.arcs[a].append(len(self.head))
+        self.arcs[b].append(len(self.head) + 1)
+        self.head += (b, a)
+        self.left += (capacity, 0)
+        return len(self.head) - 2
+
+    def _levels(self, source: int) -> list[int]:
+        level, layer, depth = [-1] * len(self.arcs), [source], 0
+        level[source] = 0
+        while layer:
+            depth += 1
+            ahead = []
+            for node in layer:
+                for i in self.arcs[node]:
+                    if self.left[i] and level[self.head[i]] < 0:
+                        level[self.head[i]] = depth
+                        ahead.append(self.head[i])
+            layer = ahead
+        return level
+
+    def run(self, source: int, sink: int) -> None:
+        head, left = self.head, self.left
+        while (level := self._levels(source))[sink] >= 0:
+            tried, path, node = [0] * len(self.arcs), [], source
+            while True:
+                if node == sink:
+                    pushed = min(left[i] for i in path)
+                    for k, i in enumerate(path):
+                        left[i] -= pushed
+                        left[i ^ 1] += pushed
+                    k = next(k for k, i in enumerate(path) if not left[i])  # go on from before the first full arc
+                    node = head[path[k] ^ 1]
+                    del path[k:]
+                    continue
+                own, at = self.arcs[node], tried[node]
+                while at < len(own) and not (left[own[at]] and level[head[own[at]]] == level[node] + 1):
+                    at += 1
+                tried[node] = at
+                if at < len(own):
+                    path.append(own[at])
+                    node = head[own[at]]
+                elif path:
+                    node = head[path.pop() ^ 1]
+                    tried[node] += 1
+                else:
+                    break
+
+
 def least_cost_flow(patterns: dict, quotas: dict, costs: Sequence[int] = COSTS) -> dict:
     """Words that each pattern sends to each of its sources.
 
     patterns: {name: (words, [sources])}; each pattern has one arc per use of its words,
-    at costs[use]. quotas: {source: words}. Successive shortest paths with potentials on
-    pattern -> source arcs; among flows that fill most of the quotas, cost is least.
-    Returns {name: {source: words}}.
+    at costs[use] (ascending). quotas: {source: words}. Among flows that fill most of the
+    quotas, cost is least. Costs stand only on the arcs that enter patterns, and are the same
+    for all, so shortest augmenting paths come in order of the use they enter by: one maximum
+    flow for each use, on what the ones before have left, is the whole method. Returns
+    {name: {source: words}}.
     """
-    graph: dict = defaultdict(list)  # node -> [arc]; arc: [to, capacity, cost, reverse arc]
-
-    def arc(a, b, capacity: int, cost: int) -> list:
-        there, back = [b, capacity, cost, None], [a, 0, -cost, None]
-        there[3], back[3] = back, there
-        graph[a].append(there)
-        graph[b].append(back)
-        return there
-
-    routes = {}
-    for name, (words, sources) in patterns.items():
-        for cost in costs:
-            arc("from", ("p", name), words, cost)
-        routes[name] = {s: arc(("p", name), ("s", s), words * len(costs), 0) for s in sources}
+    if list(costs) != sorted(costs):
+        raise ValueError("costs must not fall")
+    names, sources = list(patterns), list(quotas)
+    place = {s: 2 + len(names) + i for i, s in enumerate(sources)}
+    flow = Flow(2 + len(names) + len(sources))
+    enter, routes = [], []
+    for i, name in enumerate(names):
+        words, own = patterns[name]
+        enter.append(flow.arc(0, 2 + i, 0))
+        routes.append({s: flow.arc(2 + i, place[s], words * len(costs)) for s in own})
     for s, quota in quotas.items():
-        arc(("s", s), "to", quota, 0)
-    height: dict = defaultdict(int)
-    while True:
-        far, last, heap, tick = {"from": 0}, {}, [(0, 0, "from")], 0
-        while heap:
-            d, _, node = heappop(heap)
-            if d > far[node]:
-                continue
-            for x in graph[node]:
-                if x[1] > 0 and (e := d + x[2] + height[node] - height[x[0]]) < far.get(x[0], 1 << 62):
-                    far[x[0]], last[x[0]], tick = e, x, tick + 1
-                    heappush(heap, (e, tick, x[0]))
-        if "to" not in far:
-            break
-        for node in list(graph):
-            height[node] += min(far.get(node, far["to"]), far["to"])
-        path, node = [], "to"
-        while node != "from":
-            path.append(last[node])
-            node = last[node][3][0]
-        pushed = min(x[1] for x in path)
-        for x in path:
-            x[1] -= pushed
-            x[3][1] += pushed
-    return {name: {s: x[3][1] for s, x in by.items() if x[3][1]} for name, by in routes.items()}
+        flow.arc(place[s], 1, quota)
+    for _ in costs:
+        for i, name in enumerate(names):
+            flow.left[enter[i]] += patterns[name][0]
+        flow.run(0, 1)
+    return {name: {s: flow.left[x ^ 1] for s, x in by.items() if flow.left[x ^ 1]} for name, by in zip(names, routes, strict=True)}
+
+
+def bin_digits(rows: int) -> int:
+    """Hex digits of a digest that name about as many bins as the root of the rows."""
+    return max(1, -(-(rows.bit_length() // 2) // 4))
 
 
 def seeded(key: str, seed: int) -> Column:
@@ -145,35 +183,35 @@ def mix(docs: DataFrame, membership: Column, quotas: dict | DataFrame, key: str
     quotas: {source name: words}; a None name is kept. A table (source, quota) instead is
     for any number of sources, where each row belongs to one at most. docs is read more than once, so
     it should be a table. In each pattern, rows come in the order of a seeded digest; the
-    pattern's words are summed by bins of that digest, which finds the bin where the flow
-    runs out, and only that bin's rows (a 1/16**BIN_DIGITS part) are summed one by one.
+    pattern's words are summed by bins of that digest (about as many as the root of the
+    number of rows), which finds the bin where the flow runs out, and only that bin's rows
+    are summed one by one.
     """
     spark = docs.sparkSession
+    digits = bin_digits(docs.count())
     rows = docs.select(
         F.struct("*").alias("_row"),
         F.col(key).alias("_key"),
         (F.col(size) if isinstance(size, str) else size).cast("long").alias("_size"),
         F.coalesce(F.to_json(F.array_sort(F.array_distinct(membership))), F.lit("[]")).alias("_pattern"),
         seeded(key, seed).alias("_digest"),
-    ).withColumn("_bin", F.substring("_digest", 1, BIN_DIGITS))
+    ).withColumn("_bin", F.substring("_digest", 1, digits))
     sums = materialize(rows.groupBy("_pattern", "_bin").agg(F.sum("_size").alias("words")), "mix-bins")
     if isinstance(quotas, DataFrame):
         if sums.where(F.size(F.from_json("_pattern", "array<string>")) > 1).limit(1).count():
             raise ValueError("a table of quotas needs rows of one source each")
         wanted, small = materialize(apart_plan(sums, quotas, costs), "mix-plan"), lambda frame: frame
     else:
-        small = F.broadcast
-        listed = sums.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
-        if len(listed) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+        listed = sums.groupBy("_pattern").agg(F.sum("words").alias("words")).collect()
         patterns = {r["_pattern"]: (int(r["words"]), [s for s in json.loads(r["_pattern"]) if s in quotas]) for r in listed}
+        small = F.broadcast if len(patterns) <= MAX_PATTERNS else lambda frame: frame
         flow = least_cost_flow(patterns, quotas, costs)
         plan = []
         for name, (words, _) in patterns.items():
             taken = sum(flow[name].values())
             full, rest = divmod(taken, words) if words else (0, 0)
             plan.append((name, int(full), int(rest)))
-        wanted = F.broadcast(spark.createDataFrame(plan, "_p string, _full int, _rest long"))  # one row per pattern: MAX_PATTERNS at most
+        wanted = small(spark.createDataFrame(plan, "_p string, _full int, _rest long"))  # one row per pattern
     running = Window.partitionBy("_pattern").orderBy("_bin")
     edges = (
         sums.join(wanted, F.col("_pattern") == F.col("_p"))

@@ -1,6 +1,7 @@
 """Rules, sharding, mixing, tokens and chat against brute force."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -146,6 +147,49 @@ def test_flow_prefers_fewer_repeats():
     assert flow["a"]["x"] == 30
 
 
+def test_flow_is_the_optimum_of_all_flows():
+    rng = np.random.default_rng(5)
+
+    def best(patterns, quotas):
+        """Most words, then least cost, over every way of sending words."""
+        found = (0, 0)
+        ways = []
+        for words, own in patterns.values():
+            shares = [range(3 * words + 1) if s in own else range(1) for s in quotas]
+            ways.append([x for x in itertools.product(*shares) if sum(x) <= 3 * words])
+        for chosen in itertools.product(*ways):
+            got = [sum(x[i] for x in chosen) for i in range(len(quotas))]
+            if all(a <= b for a, b in zip(got, quotas.values(), strict=True)):
+                cost = sum(sum(c * min(max(sum(x) - use * w, 0), w) for use, c in enumerate(mixing.COSTS)) for x, (w, _) in zip(chosen, patterns.values(), strict=True))
+                found = max(found, (sum(got), -cost))
+        return found
+
+    for _ in range(25):
+        quotas = {s: int(rng.integers(0, 9)) for s in "xy"}
+        patterns = {f"p{i}": (int(rng.integers(0, 3)), [s for s in "xy" if rng.random() < 0.7]) for i in range(3)}
+        flow = mixing.least_cost_flow(patterns, quotas)
+        sent = {p: sum(flow[p].values()) for p in patterns}
+        assert all(sum(f.get(s, 0) for f in flow.values()) <= quotas[s] for s in quotas) and all(sent[p] <= 3 * w for p, (w, _) in patterns.items())
+        cost = sum(sum(c * min(max(sent[p] - use * w, 0), w) for use, c in enumerate(mixing.COSTS)) for p, (w, _) in patterns.items())
+        assert (sum(sent.values()), -cost) == best(patterns, quotas)
+
+
+def test_flow_over_many_patterns():
+    """Every overlap of up to three of 60 sources: the flow fills all quotas that can be filled."""
+    rng = np.random.default_rng(6)
+    sets = [c for n in (1, 2, 3) for c in itertools.combinations(range(60), n)]
+    patterns = {f"p{i}": (int(rng.integers(1, 2000)), [f"s{x}" for x in c]) for i, c in enumerate(sets)}
+    total = sum(w for w, _ in patterns.values())
+    quotas = {f"s{x}": int(total * (1 + x % 3) / 120) for x in range(60)}
+    flow = mixing.least_cost_flow(patterns, quotas)
+    assert len(patterns) > 35_000 and all(sum(f.get(s, 0) for f in flow.values()) == q for s, q in quotas.items())
+    assert all(sum(flow[p].values()) <= w for p, (w, _) in patterns.items())  # no repeats are needed
+
+
+def test_bins_follow_the_rows():
+    assert [mixing.bin_digits(n) for n in (0, 300, 256_000, 10**9, 10**11)] == [1, 1, 3, 4, 5]
+
+
 def test_overlapping_sources(spark):
     docs = spark.createDataFrame([(i, 10, ["x"] if i % 3 == 0 else ["y"] if i % 3 == 1 else ["x", "y"]) for i in range(300)], "doc_id long, size long, of array<string>")
     from pyspark.sql import functions as F
