@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,16 +17,19 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new one of our own if the
+    session runs in this process alone; a cluster without one is refused."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             root = current.get()
-        else:
+        elif re.match(r"local(\[|$)", context.master):
             root = "file://" + tempfile.mkdtemp(prefix="docketry-")
             context.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/")
 
 

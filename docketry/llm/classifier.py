@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     texts = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), key).select(F.col(key).cast("long").alias("key"), "grade", "text")  # `sample` rows at most
-    rows = joined.mapInArrow(run, "key long, grade int, ids binary").dropDuplicates(["key"]).collect()
+    rows = joined.mapInArrow(run, "key long, grade int, ids binary").groupBy("key").agg(F.min("grade").alias("grade"), F.min("ids").alias("ids")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r["key"])

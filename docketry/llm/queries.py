@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from docketry.llm import chat, classifier, decontaminate, lm, mixing, rules, secrets, sharding, simhash, tokens
 from docketry.llm.base import table
 
@@ -70,6 +69,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(own.unionByName(probe))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline  # beside the package, not in it
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_lm": op2_lm,
@@ -81,8 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
+
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 
 OP2 = f"""
@@ -137,7 +144,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(coalesce(role, '')
   bool_and(CASE WHEN n = 1 THEN role IN ('system', 'user') WHEN state IN ('system', 'assistant') THEN role = 'user' WHEN state = 'user' THEN role = 'assistant' ELSE false END) AS order_ok
 FROM m GROUP BY conv_id"""
 
-#: Where SQL has the functions it takes (XXH64, tokenizers, alignment and training it has not).
+#: Where SQL has the functions it takes (XXH64, tokenizers, alignment and training, and with
+#: them the pipeline, it has not).
 ORACLES: dict[str, str] = {"op2_lm": OP2, "op3_sharding": OP3, "op4_mixing": OP4, "op10_chat": OP10}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -6,7 +6,7 @@ own scores and leaves the others as they are, so rows move only into it.
 
 Law: `key` - the key and the shard list alone decide. Equal texts under different keys
 may lie apart. Defined cases: a null key counts as the text "null"; a null text has no
-bytes; rows with one key share a shard, and each has its own slot; an empty table gives
+bytes; a text of any length counts whole; rows with one key share a shard, and each has its own slot; an empty table gives
 an empty table. Only the named columns are read, so further columns can't clash.
 """
 
