@@ -1,6 +1,9 @@
 """From raw documents to shards: five stages, each by one operator of docketry.llm.
 
 Every stage works on all rows that the one before it kept and takes (spark, docs, sf_dir).
+Defined cases, in all stages: an empty table gives an empty table; texts of any length are
+taken whole; further columns, whatever their names, are handed through by all stages but the
+last, which returns its own.
 """
 
 from __future__ import annotations
@@ -14,27 +17,34 @@ N_SHARDS = 24
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier does not reject."""
+    """Documents that the ordinal classifier does not reject. A null text is judged as an
+    empty one; equal texts stay or go together, under any key; without usable labels all stay."""
     return classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the
+    one of least key, a null key first. Null and empty texts are alike, and one of them stays;
+    of rows that share key and text, too."""
     return simhash.one_of_each(docs, similarity=0.8, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts, and items, match
+    nothing; repeated rows stay or go together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the mix of sources, repeated as often as the mix takes them."""
+    """Rows of the mix of sources, repeated as often as the mix takes them. A null source is one
+    of its own; a row without words is taken where its source is used up whole; rows that
+    share a key are chosen one by one, ties by key, then size."""
     return mixing.mixed_rows(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
+    """Shard and slot of every row of the mix. A null key is the text "null"; repeated rows share
+    a shard and have slots of their own."""
     return sharding.shard_rows(docs, [1.0] * N_SHARDS, [1.0] * (N_SHARDS + 1))
 
 
@@ -46,7 +56,8 @@ STAGES = [
     ("sharding", shards),
 ]
 
-#: Training, fingerprints and alignment have no counterpart in SQL; tests hold run() against brute force.
+#: Training, fingerprints and alignment have no counterpart in SQL; tests/llm/test_methods.py
+#: holds each stage of run() against a plain version of it.
 ORACLE_SQL = None
 
 
