@@ -30,12 +30,10 @@ def case_list(names: DataFrame, name: str = "case_name") -> DataFrame:
 def compare_authorities(listed: DataFrame, argued: DataFrame, name: str = "case_name", unicode: bool = True) -> DataFrame:
     """brief_id, both case lists and counts, cases_match (as sets of compared names), and
     the plain differences both ways. A brief missing on one side has an empty list there."""
-    def side(rows: DataFrame, label: str) -> DataFrame:
-        return rows.groupBy("brief_id").agg(F.array_sort(F.collect_set(name)).alias(f"{label}_cases"), F.array_sort(F.collect_set(compared_name(F.col(name), unicode))).alias(f"_{label}"))
-
-    empty = F.array().cast("array<string>")
-    both = side(listed, "toa").join(side(argued, "argument"), "brief_id", "full_outer")
-    both = both.select("brief_id", *[F.coalesce(c, empty).alias(c) for c in ("toa_cases", "argument_cases", "_toa", "_argument")])
+    side = lambda rows, argued: rows.select("brief_id", F.col(name).alias("_name"), F.lit(argued).alias("_argued"))
+    rows = side(listed, False).unionByName(side(argued, True)).withColumn("_compared", compared_name(F.col("_name"), unicode))
+    held = lambda column, argued: F.array_sort(F.collect_set(F.when(F.col("_argued") == argued, F.col(column))))
+    both = rows.groupBy("brief_id").agg(held("_name", False).alias("toa_cases"), held("_name", True).alias("argument_cases"), held("_compared", False).alias("_toa"), held("_compared", True).alias("_argument"))
     return both.select(
         "brief_id", "toa_cases", "argument_cases",
         F.size("toa_cases").alias("toa_case_count"), F.size("argument_cases").alias("argument_case_count"),

@@ -15,6 +15,8 @@ from docketry.functions.names import pin_page
 
 #: Characters of quotations that one automaton holds.
 BLOCK = 2_000_000
+#: Automata that are sent out at once.
+TOGETHER = 8
 
 
 def occurs(quote: Column, text: Column, unicode: bool = True) -> Column:
@@ -47,23 +49,35 @@ def _finder(needles: Broadcast) -> Callable:
     return search
 
 
-def verify_anywhere(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str, unicode: bool = False, block: int = BLOCK) -> DataFrame:
+def verify_anywhere(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str, unicode: bool = False, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
     """Pairs (quote_id, text_id) where the quotation occurs in the text in matching form.
 
-    There is no join key. Quotations are taken in blocks of at most `block` characters; a
-    block becomes one automaton that finds all its quotations in a single pass over a text,
+    There is no join key. Quotations are dealt by hash to blocks of about `block` characters;
+    a block becomes one automaton that finds all its quotations in a single pass over a text,
     so no pair is compared, no text is shuffled, and the time does not depend on how many
-    quotations a block has. An empty quotation matches nothing.
+    quotations a block has. Up to `together` blocks are sent out at once; more take rounds,
+    whose pairs are checkpointed (spark.checkpoint.dir) before the blocks are released, so
+    the memory needed does not grow with the quotations. An empty quotation matches nothing.
     """
     q = quotes.select(F.col(quote_id).alias("_q"), T.matching_text(F.col(quote), unicode).alias("_quote")).where("_quote <> ''")
-    upto = F.sum(F.length("_quote")).over(Window.orderBy("_q", "_quote").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = q.withColumn("_block", F.floor(upto / block))
-    kind = quotes.schema[quote_id].dataType
-    rows = texts.select(F.col(text_id), T.matching_text(F.col(text), unicode).alias("_text"), F.array().cast(ArrayType(kind)).alias("_found"))
-    for number in [r["_block"] for r in numbered.select("_block").distinct().orderBy("_block").collect()]:
-        needles = quotes.sparkSession.sparkContext.broadcast([(r["_q"], r["_quote"]) for r in numbered.where(F.col("_block") == number).collect()])  # about `block` characters
-        rows = rows.withColumn("_found", F.concat("_found", F.pandas_udf(_finder(needles), ArrayType(kind))(F.col("_text"))))
-    return rows.select(F.explode("_found").alias(quote_id), text_id)
+    blocks = max(1, -(-q.agg(F.coalesce(F.sum(F.length("_quote")), F.lit(0))).first()[0] // block))
+    numbered = q.withColumn("_block", F.pmod(F.xxhash64("_quote"), F.lit(blocks)))
+    kind, context = ArrayType(quotes.schema[quote_id].dataType), quotes.sparkSession.sparkContext
+    pairs = None
+    for begin in range(0, blocks, together):
+        rows = texts.select(F.col(text_id), T.matching_text(F.col(text), unicode).alias("_text"), F.array().cast(kind).alias("_found"))
+        sent = []
+        for number in range(begin, min(begin + together, blocks)):
+            sent.append(context.broadcast([(r["_q"], r["_quote"]) for r in numbered.where(F.col("_block") == number).collect()]))  # about `block` characters
+            rows = rows.withColumn("_found", F.concat("_found", F.pandas_udf(_finder(sent[-1]), kind)(F.col("_text"))))
+        found = rows.select(F.explode("_found").alias(quote_id), text_id)
+        if blocks <= together:
+            return found
+        found = found.checkpoint()
+        for x in sent:
+            x.destroy()
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs
 
 
 def case_text(cases: DataFrame, html: DataFrame | None = None) -> DataFrame:

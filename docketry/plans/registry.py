@@ -12,6 +12,7 @@ from docketry.functions import text as T
 from docketry.functions.citations import citations
 from docketry.functions.constants import ABBREVIATIONS, REPORTER_SLUGS, SIGNALS
 from docketry.operators import annotate, layout, propose, report, resolve, sections, verify
+from docketry.plans import briefs
 from docketry.sources.views import in_duckdb, in_spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,8 +100,9 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     trim(regexp_replace(regexp_replace(text, '(\w+)-\s+(\w+)', '\1\2', 'g'), '\s+', ' ', 'g')) AS joined FROM {{documents}}""",
 )
 def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, m = F.col("text"), T.matching_text(F.col("text"), unicode=False)
-    return _table(spark, sf_dir, "documents").select("doc_id", m.alias("matching"), T.unpunctuated(m, unicode=False).alias("bare"), T.recogniser_text(t, unicode=False).alias("recogniser"), T.join_hyphens(t, unicode=False).alias("joined"))
+    t = F.col("text")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", T.matching_text(t, unicode=False).alias("matching"), T.recogniser_text(t, unicode=False).alias("recogniser"), T.join_hyphens(t, unicode=False).alias("joined"))
+    return rows.withColumn("bare", T.unpunctuated(F.col("matching"), unicode=False))
 
 
 _QUOTED = """concat('see "', substr(text, 1, 30 + CAST(doc_id % 40 AS INT)), '" and ', substr(text, 40, 60))"""
@@ -380,14 +382,6 @@ def user_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.user_briefs(users.join(F.broadcast(first), F.col("email") == F.col("_email")).drop("_email"), briefs, F.col("email"))
 
 
-@query("citation_recogniser")
-def citation_recogniser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations in texts made from orders and customers."""
-    made = "concat('See ', replace(c_name, 'Customer#', 'Doe'), ' v. State, ', CAST(o_orderkey % 600 AS STRING), ' S.W.3d ', CAST(o_custkey AS STRING), ', ', CAST(o_custkey + 3 AS STRING), ' (Tex. 2001) (holding that (so) it is). Id. at 7.') AS t"
-    rows = in_spark(spark, sf_dir, f"SELECT o_orderkey, {made} FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey")
-    return rows.select("o_orderkey", F.explode(citations(F.col("t"))).alias("c")).select("o_orderkey", "c.*")
-
-
 @query(
     "section_ranges",
     "SELECT conv_id AS brief_id, min(turn) FILTER (role = 'user') AS start_page, coalesce(min(turn) FILTER (role = 'assistant' AND turn >= s), max(turn)) AS end_page FROM (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS s FROM {conversations}) WHERE s IS NOT NULL GROUP BY conv_id",
@@ -481,3 +475,81 @@ def case_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence"))
+
+
+_CITED = """SELECT o_orderkey, c_name, CAST(o_orderkey % 600 AS STRING) AS volume, CAST(o_custkey AS STRING) AS page, CAST(o_custkey + 3 AS STRING) AS pin, replace(c_name, 'Customer#', 'Doe') AS name FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+_CITED_TEXT = "concat('See ', name, ' v. State, ', volume, ' S.W.3d ', page, ', ', pin, ' (Tex. 2001) (holding that (so) it is). Id. at 7.')"
+
+
+@query(
+    "citation_recogniser",
+    rf"""WITH t AS (SELECT *, concat(name, ' v. State, ', volume, ' S.W.3d ', page, ', ', pin, ' (Tex. 2001)') AS cite, {_CITED_TEXT} AS t FROM ({_CITED}))
+    SELECT o_orderkey, cite AS text, 4 AS start, (4 + length(cite))::INT AS "end", 'full_case' AS cite_type, volume, 'S.W.3d' AS reporter, page, pin AS pin_cite, name AS plaintiff, 'State' AS defendant, NULL AS antecedent,
+      'Tex. 2001' AS court, 'holding that (so) it is' AS parenthetical, (length(t) - 11)::INT AS paren_end FROM t
+    UNION ALL SELECT o_orderkey, 'Id. at 7', (length(t) - 9)::INT, (length(t) - 1)::INT, 'id', NULL, NULL, NULL, '7', NULL, NULL, NULL, NULL, NULL, (length(t) - 1)::INT FROM t""",
+)
+def citation_recogniser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in texts made from orders and customers."""
+    rows = in_spark(spark, sf_dir, f"SELECT o_orderkey, {_CITED_TEXT} AS t FROM ({_CITED})")
+    return rows.select("o_orderkey", F.explode(citations(F.col("t"))).alias("c")).select("o_orderkey", "c.*")
+
+
+#: Three pages of a brief for each customer; the argument is on the second and third.
+_ARGUED_PARTS = """SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'The lower court erred. It said "the rule is plain."' WHEN 1 THEN 'The rule is settled.' ELSE 'Nothing else matters here.' END AS claim,
+  CASE c_custkey % 3 WHEN 0 THEN 'See ' WHEN 1 THEN '' ELSE 'Accord ' END AS signal, CASE c_custkey % 2 WHEN 0 THEN ' (holding that notice is due)' ELSE '' END AS parenthetical,
+  concat('Doe', CAST(c_custkey AS STRING), ' v. State, ', CAST(1 + c_custkey % 600 AS STRING), ' S.W.3d ', CAST(10 + c_custkey % 900 AS STRING), ', ', CAST(12 + c_custkey % 900 AS STRING), ' (Tex. 2001)') AS cite,
+  concat('7 F.2d ', CAST(20 + c_custkey % 900 AS STRING)) AS second, concat('Id. at ', CAST(13 + c_custkey % 900 AS STRING)) AS third FROM {customer}"""
+_ARGUED_TEXT = "concat('We argue. ', claim, ' ', signal, cite, parenthetical, '; ', second, '. ', third, '. The last claim fails; Prayer or not,')"
+
+
+@query(
+    "brief_items",
+    f"""WITH p AS (SELECT *, concat(' ', {_ARGUED_TEXT}) AS t FROM ({_ARGUED_PARTS})),
+    c AS (SELECT k, seq, [cite, second, third][seq] AS text, CASE WHEN seq < 3 THEN 'full_case' ELSE 'id' END AS cite_type, strpos(t, [cite, second, third][seq]) - 1 AS start, seq = 1 AS own, claim, signal, parenthetical, t FROM p, unnest([1, 2, 3]) AS u(seq))
+    SELECT k AS brief_id, seq::INT AS seq, claim AS preceding_text, text, cite_type, start::INT AS start, (start + length(text))::INT AS "end", CASE WHEN own AND signal <> '' THEN lower(trim(signal)) END AS signal,
+      CASE WHEN own AND parenthetical <> '' THEN 'notice is due' END AS parenthetical, own AND signal <> '' AND parenthetical = '' AS needs_review, k % 3 = 0 AS has_quotation,
+      CASE WHEN k % 3 = 0 THEN 'quotation' ELSE 'statement' END AS content_type, NOT own AS is_string_cite, 1::BIGINT AS string_cite_group FROM c""",
+)
+def brief_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole item pipeline over briefs of three pages: section, citations, what stands before them."""
+    pages = in_spark(spark, sf_dir, f"""SELECT k AS brief_id, page AS page_num, CASE page WHEN 1 THEN 'Argument of the brief begins later' WHEN 2 THEN concat('ARGUMENT', chr(10), {_ARGUED_TEXT})
+      ELSE concat('so it stays.', chr(10), 'Prayer', chr(10), 'Relief, 3 U.S. 4, is asked.') END AS text FROM ({_ARGUED_PARTS}), (SELECT explode(array(1, 2, 3)) AS page)""")
+    return briefs.items(pages).drop("quotations")
+
+
+#: Blocks of those briefs: a misleading line, heading, text, an indented quotation, more text, end.
+_ARGUED_BLOCKS = f"""SELECT k AS brief_id, 1 AS page_num, n AS block_no, x0, CAST(10 * n AS DOUBLE) AS y0, x0 + 400.0 AS x1, CAST(10 * n + 9 AS DOUBLE) AS y1, text, 0 AS block_type FROM (
+  SELECT k, n, CAST(CASE WHEN n IN (4, 5) THEN 108 ELSE 72 END AS DOUBLE) AS x0, CASE n WHEN 1 THEN 'Argument of the state is weak, 9 U.S. 9, as all can see.' WHEN 2 THEN 'ARGUMENT'
+    WHEN 3 THEN concat('We argue at some length. ', claim, ' ', signal, cite, parenthetical, '. The court went on to say:') WHEN 4 THEN concat('no brief number ', CAST(k AS STRING), ' shall go unread by')
+    WHEN 5 THEN 'any court that sits in this fair state.' WHEN 6 THEN concat(third, '. That is the law of the land today, as said in ', second, '.') WHEN 7 THEN 'Prayer' ELSE 'Relief is asked, 3 U.S. 4, at the end of all.' END AS text
+  FROM ({_ARGUED_PARTS}), (SELECT explode(array(1, 2, 3, 4, 5, 6, 7, 8)) AS n)) q"""
+#: Cases of a quarter of them hold the claim, of another quarter something else, of a third no text.
+_ARGUED_CASES = f"""SELECT DISTINCT concat('cases/sw3d/', CAST(1 + k % 600 AS STRING), '/json/', lpad(CAST(10 + k % 900 AS STRING), 4, '0'), '-01.json') AS path,
+  CASE k % 4 WHEN 0 THEN concat('Here we hold. ', claim, ' It follows, holding that notice is due here.') WHEN 1 THEN 'Nothing of the kind was said.' END AS text FROM ({_ARGUED_PARTS}) WHERE k % 4 < 3"""
+_ARGUED_PROPOSITIONS = f"""SELECT k AS brief_id, (row_number() OVER (PARTITION BY k ORDER BY n) - 1)::INT AS prop_seq, text, type, cites, n, k FROM (
+  SELECT k, n, cite, second, third, CASE n WHEN 1 THEN 'holding that notice is due' WHEN 2 THEN CASE k % 3 WHEN 0 THEN 'It said "the rule is plain.' ELSE claim END
+    WHEN 3 THEN concat('no brief number ', k::VARCHAR, ' shall go unread by any court that sits in this fair state.') ELSE 'That is the law of the land today, as said in' END AS text,
+    CASE n WHEN 1 THEN 'parenthetical' ELSE 'statement' END AS type, CASE WHEN n <= 2 THEN cite WHEN n = 3 THEN third ELSE second END AS cites
+  FROM ({_ARGUED_PARTS}), unnest([1, 2, 3, 4]) AS u(n) WHERE n > 1 OR (signal <> '' AND parenthetical <> ''))"""
+
+
+def _argued(spark: SparkSession, sf_dir: str) -> briefs.Parsed:
+    records = spark.createDataFrame([], "volume string, reporter string, page string, record struct<case_name: string>, start_page int")
+    return briefs.parse(in_spark(spark, sf_dir, _ARGUED_BLOCKS), records)
+
+
+@query("brief_propositions", f"SELECT brief_id, prop_seq, text, type, cites FROM ({_ARGUED_PROPOSITIONS})")
+def brief_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole parse of a brief from its blocks: section, margins, paragraphs, units, citations, propositions."""
+    return _argued(spark, sf_dir).propositions.select("brief_id", "prop_seq", "text", "type", F.array_join("citations.text", "; ").alias("cites"))
+
+
+@query(
+    "brief_verdicts",
+    f"""SELECT brief_id, prop_seq, CASE WHEN n <= 2 AND k % 4 = 0 AND NOT (n = 2 AND k % 3 = 0) THEN 'verified' ELSE 'uncertain' END AS result,
+    CASE WHEN n = 3 THEN 'no local case file' WHEN n = 4 OR k % 4 > 1 THEN 'case text cannot be read' ELSE 'scored' END AS explanation FROM ({_ARGUED_PROPOSITIONS})""",
+)
+def brief_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed briefs held against the cases they cite."""
+    no_pages = spark.createDataFrame([], "path string, page int, text string")
+    return briefs.validate(_argued(spark, sf_dir), in_spark(spark, sf_dir, _ARGUED_CASES), no_pages).select("brief_id", "prop_seq", "result", "explanation")

@@ -347,3 +347,30 @@ def test_only_the_last_page_is_cut(spark):
     html = spark.createDataFrame([("a", f'<a id="p1">*1</a> {long}first end <a id="p2">*2</a> {long}last end')], "path string, value string")
     texts = {r["page"]: r["text"] for r in verify.case_pages(html).collect()}
     assert texts[1].endswith("first end") and len(texts[2]) <= 5000
+
+
+def test_only_whole_lines_are_headings(spark):
+    pages = page_rows(spark, ["Argument\nfoo\nConclusion of law 5 was wrong.\nmore", "Argument goes on\nConclusion\nbye"])
+    found = sections.first_section(pages, sections.ARGUMENT)
+    assert sections.section_text(pages, found).first()["text"].split("\n") == ["", "foo", "Conclusion of law 5 was wrong.", "more", "Argument goes on", ""]
+    by_prefix = sections.first_section(page_rows(spark, ["Argument of the state\nfoo\nConclusion"]), sections.ARGUMENT)
+    assert sections.section_text(page_rows(spark, ["Argument of the state\nfoo\nConclusion"]), by_prefix).first()["text"].strip() == "foo"
+    blocks = spark.createDataFrame([block(1, 1, "Argument"), block(1, 2, "Argument is long"), block(1, 3, "Conclusion of law"), block(2, 1, "text"), block(2, 2, "Conclusion"), block(2, 3, "no"), block(3, 1, "yes"), block(3, 2, "Prayer"), block(3, 3, "no")], BLOCKS)
+    pages = sections.pages_of(blocks)
+    found = sections.first_section(pages, sections.ARGUMENT)
+    kept = layout.body_blocks(blocks, layout.margins(blocks), found, briefs.heading_positions(blocks, found))
+    assert [r["text"] for r in kept.orderBy("page_num", "block_no").collect()] == ["Argument is long", "Conclusion of law", "text", "yes"]
+
+
+def test_pages_across_a_gap_are_windows(spark):
+    html = spark.createDataFrame([("a", f'<a id="p1">*1</a> one &eacute;&#8217; <a id="p2">*2</a> two {"w " * 50}<a id="p5">*5</a> five <a href="x">*6</a> six <a id="p5">*5</a> again')], "path string, value string")
+    got = {r["page"]: r["text"] for r in verify.case_pages(html, window=60).collect()}
+    assert got[1] == "*1 one é’" and got[2].startswith("*2 two w w") and len(got[2]) < 60 and got[5] == "*5 five" and got[6].startswith("*6 six")
+
+
+def test_quotations_in_rounds(spark, tmp_path):
+    texts = spark.createDataFrame([(i, f"before quote number {i} after") for i in range(20)], "doc_id long, text string")
+    quotes = spark.createDataFrame([(i, f"quote number {i} after") for i in range(20)], "q long, quote string")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    pairs = lambda **options: sorted(map(tuple, verify.verify_anywhere(quotes, texts, "q", "quote", "doc_id", "text", **options).collect()))
+    assert pairs() == pairs(block=60, together=2) == [(i, i) for i in range(20)]

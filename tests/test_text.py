@@ -131,3 +131,48 @@ def test_recogniser_columns(spark):
     assert [c["reporter"] for c in of(spark, citations, "1 F. Supp. 2d 3; 5 U.S. 7")] == ["F. Supp. 2d", "U.S."]
     assert one(spark, that_parenthetical(F.lit("X (holding that y is z) w"), F.lit(1))) == "y is z"
     assert one(spark, that_parenthetical(F.lit("X, 1 U.S. 2 (holding that y)"), F.lit(1))) is None
+
+
+def test_offsets_count_what_separates_sentences(spark):
+    """Boundaries before quotation marks have no space; a long text takes several levels of sums."""
+    text = 'He said "go." Then he left. "Stay." She stayed. Next came X.'
+    assert of(spark, T.boundaries, text) == [48]
+    rng = __import__("random").Random(3)
+    words = ["so it goes", "It went", "the end", '"Well"', "Now", "x v. Y", "No. 5"]
+    for n in (3, 40, 700):
+        made = "".join(rng.choice(words) + rng.choice([". ", ".", "! ", "?  ", " ", ", "]) for _ in range(n))
+        plain, at = [], 0
+        while at < len(made):
+            if made[at] in ".!?" and not (made[:at].endswith(" v") or made[:at].endswith("No") and (at < 3 or not made[at - 3].isalnum())):
+                rest = made[at + 1 :].lstrip()
+                if rest and rest[0].isupper():
+                    plain.append(len(made) - len(rest))
+            at += 1
+        assert of(spark, T.boundaries, made) == plain
+    spans = of(spark, T.quoted_spans, 'a "b c" d “e” ' * 200)
+    assert len(spans) == 400 and spans[-1]["end"] == 200 * 14 - 1 and spans[2]["start"] == 16
+
+
+def test_units_before_an_offset(spark):
+    text = "A b. C d. See E v. F, 1 U.S. 2. G said. 50 U.S. at 3"
+    start = lambda end, **options: spark.range(1).select(T.unit_start(F.lit(text), F.lit(end), **options)).first()[0]
+    assert start(14) == 5  # "See" belongs to what follows "C d."
+    assert start(text.index("50")) == text.index("G")  # closed right before the citation, whatever follows
+    assert start(10) == 5 and start(3) == 0
+    assert start(len(text) - 1, back=1) == text.index("G") and start(len(text) - 1, back=1, window=4) == len(text) - 5
+
+
+def test_annotations(spark):
+    for lead in ("(cleaned up).", "(internal marks omitted)", "(emphasis mine).", "(footnote 3)", "(quotation marks altered)"):
+        assert of(spark, T.without_annotation, f"{lead} The rule") == "The rule"
+    assert of(spark, T.without_annotation, "(a plain remark) The rule") == "(a plain remark) The rule"
+
+
+def test_names_before_citations():
+    got = lambda t: [(x["text"], x["plaintiff"], x["defendant"], x["antecedent"]) for x in recognise(t)]
+    assert got("See Doe v. State, 1 U.S. 2") == [("Doe v. State, 1 U.S. 2", "Doe", "State", None)]
+    assert got("(Smith of the North, Inc. v. Jones & Co., 5 U.S. 7)") == [("Smith of the North, Inc. v. Jones & Co., 5 U.S. 7", "Smith of the North, Inc.", "Jones & Co.", None)]
+    assert got("It was Held. Accord The State v. X, 1 U.S. 1") == [("The State v. X, 1 U.S. 1", "The State", "X", None)]
+    assert got("In re Doe, 4 U.S. 5; See, 3 U.S. at 4; Brown, supra, at 4") == [("In re Doe, 4 U.S. 5", "In re Doe", None, None), ("3 U.S. at 4", None, None, None), ("Brown, supra, at 4", None, None, "Brown")]
+    long = "Alpha Beta, " * 50_000
+    assert recognise(long + "5 U.S. 7")[0]["plaintiff"] is None and recognise("1" * 100_000 + "A" * 100_000 + ", supra")[0]["cite_type"] == "supra"
