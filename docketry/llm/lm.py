@@ -35,9 +35,10 @@ from docketry.llm.base import materialize
 
 ALPHA = 0.4
 #: Words after which a batch is closed, between documents.
-WORDS = 700_000
-#: Entries of one partition of the count table, about.
-ENTRIES = 2_000_000
+WORDS = 900_000
+#: N-grams of the corpus for one partition of the count table, before batches count theirs
+#: together: from the first number, up to the second where there would be over PARTS partitions.
+ENTRIES, MOST_ENTRIES, PARTS = 2_000_000, 8_000_000, 256
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 PACKED = "batch long, part int, n_words long, payload binary, counts binary"
@@ -210,11 +211,18 @@ def counted(exploded: DataFrame) -> DataFrame:
     return exploded.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, PACKED)
 
 
+def part_bits(grams: int) -> int:
+    """Bits of a hash that number the partitions of the count table. Each batch has one entry
+    row for each, so a large corpus gets fewer, fuller partitions."""
+    each = min(max(ENTRIES, grams // PARTS), MOST_ENTRIES)
+    return max(4, int(grams // each).bit_length())
+
+
 def score(docs: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """key, n_words, log_score (natural logarithm, summed over words), mean_log_score."""
     packed = materialize(batches(docs, key, text, words), "lm-batches")
     all_words = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    bits = max(4, int(order * all_words // ENTRIES).bit_length())
+    bits = part_bits(order * all_words)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, got = None, []
