@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.constants import CASES_PART
@@ -56,26 +56,29 @@ def find_sections(pages: DataFrame, start: str, ends: Sequence[str], prefix: boo
     It starts on the first page with the heading. It ends on the first page from there on
     that has the first of `ends`, in list order, that occurs at all; else on the last page.
     """
-    text = F.col("text")
-    starts = pages.where(text.rlike(heading_pattern(start, prefix))).groupBy("brief_id").agg(F.min("page_num").alias("start_page"))
-    last = pages.groupBy("brief_id").agg(F.max("page_num").alias("last_page"))
-    ranked = F.array(*[F.when(text.rlike(heading_pattern(e)), F.struct(F.lit(i).alias("rank"), F.col("page_num").alias("page"), F.lit(e).alias("heading"))) for i, e in enumerate(ends)])
-    marks = pages.select("brief_id", F.explode(F.array_compact(ranked)).alias("mark")) if ends else None
-    found = starts.join(last, "brief_id")
-    if marks is None:
-        return found.select("brief_id", "start_page", F.col("last_page").alias("end_page"), F.lit(None).cast("string").alias("end_heading"))
-    later = marks.join(starts, "brief_id").where("mark.page >= start_page").groupBy("brief_id").agg(F.min("mark").alias("mark"))
-    return found.join(later, "brief_id", "left").select("brief_id", "start_page", F.coalesce("mark.page", "last_page").alias("end_page"), F.col("mark.heading").alias("end_heading"))
+    return first_section(pages, [(start, ends, prefix)]).select("brief_id", "start_page", "end_page", "end_heading")
 
 
 def first_section(pages: DataFrame, choices: Sequence[tuple[str, Sequence[str], bool]]) -> DataFrame:
-    """The first of several headings that a brief has: (start, ends, prefix) in order of choice."""
-    found = None
-    for rank, (start, ends, prefix) in enumerate(choices):
-        one = find_sections(pages, start, ends, prefix).withColumns({"choice": F.lit(rank), "heading": F.lit(start), "prefix": F.lit(prefix), "ends": F.array(*map(F.lit, ends)).cast("array<string>")})
-        found = one if found is None else found.unionByName(one)
-    best = Window.partitionBy("brief_id").orderBy("choice")
-    return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    """The first of several headings that a brief has: (start, ends, prefix) in order of choice.
+    As find_sections, with choice, heading, prefix and ends. One aggregate by brief_id finds
+    the pages of all headings."""
+    text, page = F.col("text"), F.col("page_num")
+    all_ends = list(dict.fromkeys(e for _, ends, _ in choices for e in ends))
+    first = [F.min(F.when(text.rlike(heading_pattern(start, prefix)), page)).alias(f"start_{i}") for i, (start, _, prefix) in enumerate(choices)]
+    marks = [F.collect_set(F.when(text.rlike(heading_pattern(e)), page)).alias(f"end_{j}") for j, e in enumerate(all_ends)]
+    by_brief = pages.groupBy("brief_id").agg(F.max(page).alias("last"), *first, *marks)
+    found = []
+    for i, (heading, ends, prefix) in enumerate(choices):
+        start = F.col(f"start_{i}")
+        later = [F.array_min(F.filter(f"end_{all_ends.index(e)}", lambda p, start=start: p >= start)) for e in ends]
+        mark = F.coalesce(*[F.when(p.isNotNull(), F.struct(p.alias("page"), F.lit(e).alias("heading"))) for p, e in zip(later, ends, strict=True)], F.lit(None).cast("struct<page: int, heading: string>"))
+        section = F.struct(
+            start.alias("start_page"), F.coalesce(mark["page"], F.col("last")).alias("end_page"), mark["heading"].alias("end_heading"),
+            F.lit(i).alias("choice"), F.lit(heading).alias("heading"), F.lit(prefix).alias("prefix"), F.array(*map(F.lit, ends)).cast("array<string>").alias("ends"),
+        )
+        found.append(F.when(start.isNotNull(), section))
+    return by_brief.select("brief_id", F.coalesce(*found).alias("s")).where("s IS NOT NULL").select("brief_id", "s.*")
 
 
 ARGUMENT_ENDS = ("Prayer", "Conclusion", "Certificate of Compliance", "Certificate of Service")
