@@ -82,15 +82,17 @@ def _unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(html.unescape, na_action="ignore")
 
 
-def html_text(page: Column, unicode: bool = True, every_entity: bool = False) -> Column:
+def html_text(page: Column, unicode: bool = True, every_entity: bool = False, space: str | None = None) -> Column:
     """Tags become spaces, entities characters, white space single spaces. The entities are
-    those of ENTITIES, native; with every_entity all named and numeric ones, by Arrow."""
+    those of ENTITIES, native; with every_entity all named and numeric ones, by Arrow. space:
+    a pattern for runs of white space, instead of the usual ones."""
     out = F.regexp_replace(page, TAG, " ")
     if every_entity:
-        return collapse(F.pandas_udf(_unescaped, "string")(out), unicode)
-    for entity, character in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(character))
-    return collapse(out, unicode)
+        out = F.pandas_udf(_unescaped, "string")(out)
+    else:
+        for entity, character in ENTITIES.items():
+            out = F.replace(out, F.lit(entity), F.lit(character))
+    return F.trim(F.regexp_replace(out, space, " ")) if space else collapse(out, unicode)
 
 
 def html_escape(text: Column) -> Column:
@@ -162,7 +164,7 @@ def quotations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f'{QUOTES}([^"{OPEN}{CLOSE}]+){QUOTES}'), F.lit(1))
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is evaluated once, however often f uses it."""
     return F.transform(F.array(value), f)[0]
 
@@ -175,21 +177,21 @@ def running(numbers: Column, step: int = 64) -> Column:
 
     def of(own: Column) -> Column:
         sums = F.transform(F.sequence(F.lit(0), F.greatest(block(F.size(own) - 1), F.lit(0))), lambda b: total(F.slice(own, b * step + 1, F.lit(step))))
-        return _once(sums, lambda made: _once(F.transform(made, lambda x, i: total(F.slice(made, F.lit(1), i))), lambda before: F.transform(own, lambda x, i: before[block(i)] + total(F.slice(own, block(i) * step + 1, i % step + 1)))))
+        return once(sums, lambda made: once(F.transform(made, lambda x, i: total(F.slice(made, F.lit(1), i))), lambda before: F.transform(own, lambda x, i: before[block(i)] + total(F.slice(own, block(i) * step + 1, i % step + 1)))))
 
-    return _once(numbers, of)
+    return once(numbers, of)
 
 
 def _pieces(text: Column, pattern: str) -> Column:
     """The pieces between a pattern's matches, the matches, and where each match ends."""
     cut = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    return _once(cut, lambda c: F.struct(c["pieces"].alias("pieces"), c["found"].alias("found"), running(F.transform(c["found"], lambda m, i: (F.length(c["pieces"][i]) + F.length(m)).cast("long"))).alias("ends")))
+    return once(cut, lambda c: F.struct(c["pieces"].alias("pieces"), c["found"].alias("found"), running(F.transform(c["found"], lambda m, i: (F.length(c["pieces"][i]) + F.length(m)).cast("long"))).alias("ends")))
 
 
 def quoted_spans(text: Column) -> Column:
     """array<struct<quoted, start, end>> of the quotations, marks included, in code points."""
     cut = _pieces(text, f'{QUOTES}[^"{OPEN}{CLOSE}]+{QUOTES}')
-    return _once(cut, lambda c: F.transform(c["found"], lambda m, i: F.struct(m.alias("quoted"), (c["ends"][i] - F.length(m)).cast("int").alias("start"), c["ends"][i].cast("int").alias("end"))))
+    return once(cut, lambda c: F.transform(c["found"], lambda m, i: F.struct(m.alias("quoted"), (c["ends"][i] - F.length(m)).cast("int").alias("start"), c["ends"][i].cast("int").alias("end"))))
 
 
 def quote_share(text: Column) -> Column:
@@ -244,7 +246,7 @@ def content_type(text: Column, in_block: Column) -> Column:
 def boundaries(text: Column) -> Column:
     """Offsets (code points) just after each sentence's closing mark and the space behind it,
     where a capital follows."""
-    return _once(_pieces(text, _boundary(r"\p{Lu}")), lambda c: c["ends"])
+    return once(_pieces(text, _boundary(r"\p{Lu}")), lambda c: c["ends"])
 
 
 def _closed(text: Column, end: Column) -> Column:
@@ -266,7 +268,7 @@ def unit_start(text: Column, end: Column, back: int = 2, window: int | None = No
     """Where the unit before `end` begins: the back-th boundary from there backwards (0
     without one), at most `window` characters away. A closing mark right before `end`
     counts as a boundary, whatever follows it."""
-    return _once(boundaries(text), lambda found: unit_start_in(found, text, end, back, window))
+    return once(boundaries(text), lambda found: unit_start_in(found, text, end, back, window))
 
 
 def search_chunks(text: Column, most: int = 50) -> Column:

@@ -91,22 +91,28 @@ def case_text(cases: DataFrame, html: DataFrame | None = None) -> DataFrame:
     return own.join(other, "path", "left").select("path", F.coalesce("_json", "_html").alias("text"))
 
 
-def case_pages(html: DataFrame, window: int = 5000) -> DataFrame:
+def _every_entity(piece: Column) -> Column:
+    return T.html_text(piece, every_entity=True)
+
+
+def case_pages(html: DataFrame, window: int = 5000, as_text: Callable[[Column], Column] = _every_entity) -> DataFrame:
     """path, page, text: a case's pages, cut once at their anchors (id="pN", or *N as their
     text), for an equi-join on the page. A page goes to the next one's anchor; where the next
     anchor is not the next page's, or there is none, it is `window` characters from its own
-    anchor on. The first anchor of a page counts."""
+    anchor on. The first anchor of a page counts. All of it happens within a row, so no text
+    is shuffled. as_text makes a page's text from its piece of the file."""
     anchor = r'(?s)^(<a[^>]*\bid="p(\d+)"[^>]*>.*?</a>|<a[^>]*>\*(\d+)</a>)'
-    pieces = F.split("value", r'(?=<a[^>]*\bid="p\d+")|(?=<a[^>]*>\*\d+</a>)')
     number = lambda piece: F.coalesce(F.nullif(F.regexp_extract(piece, anchor, 2), F.lit("")), F.nullif(F.regexp_extract(piece, anchor, 3), F.lit(""))).cast("int")
-    rows = html.select("path", F.col("value").alias("_whole"), F.posexplode(F.transform(pieces, lambda x: F.struct(x.alias("piece"), number(x).alias("page")))).alias("n", "p")).select("path", "_whole", "n", "p.*")
-    by_place = Window.partitionBy("path").orderBy("n")
-    behind = F.length("_whole") - F.sum(F.length("piece")).over(by_place.rowsBetween(0, Window.unboundedFollowing))
-    first = F.row_number().over(Window.partitionBy("path", "page").orderBy("n"))
-    rows = rows.withColumns({"_next": F.lead("page").over(by_place), "_from": behind, "_first": first}).where("page IS NOT NULL AND _first = 1")
-    far = F.substring("_whole", F.col("_from") + 1, F.lit(window))
-    piece = F.when(F.col("_next") == F.col("page") + 1, F.col("piece")).otherwise(far)
-    return rows.select("path", "page", T.html_text(piece, every_entity=True).alias("text"))
+    pieces = T.once(F.split("value", r'(?=<a[^>]*\bid="p\d+")|(?=<a[^>]*>\*\d+</a>)'), lambda x: F.struct(x.alias("pieces"), F.transform(x, number).alias("pages"), T.running(F.transform(x, lambda y: F.length(y).cast("long"))).alias("ends")))
+
+    def piece(c: Column, i: Column) -> Column:
+        own, page = c["pieces"][i], c["pages"][i]
+        far = F.substring("value", (c["ends"][i] - F.length(own) + 1).cast("int"), F.lit(window))
+        return F.struct(page.alias("page"), F.when(F.get(c["pages"], i + 1) == page + 1, own).otherwise(far).alias("piece"))
+
+    first = lambda c: F.filter(F.sequence(F.lit(0), F.size(c["pieces"]) - 1), lambda i: F.array_position(c["pages"], c["pages"][i]) == i + 1)
+    rows = html.where("value IS NOT NULL").select("path", F.explode(T.once(pieces, lambda c: F.transform(first(c), lambda i: piece(c, i)))).alias("p"))
+    return rows.select("path", "p.page", as_text(F.col("p.piece")).alias("text"))
 
 
 def first_local(citations: Column) -> Column:

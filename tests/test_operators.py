@@ -368,6 +368,15 @@ def test_pages_across_a_gap_are_windows(spark):
     assert got[1] == "*1 one é’" and got[2].startswith("*2 two w w") and len(got[2]) < 60 and got[5] == "*5 five" and got[6].startswith("*6 six")
 
 
+def test_case_pages_shuffle_no_text(spark):
+    html = spark.createDataFrame([("a", '<a id="p2">*2</a> b <a id="p3">*3</a> c <a id="p2">*2</a> d'), ("e", None), ("f", ""), ("g", '<a id="p9">*9')], "path string, value string")
+    made = verify.case_pages(html)
+    assert sorted(map(tuple, made.collect())) == [("a", 2, "*2 b"), ("a", 3, "*3 c *2 d")]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    many = spark.createDataFrame([("a", "".join(f'<a id="p{i}">*{i}</a> ' + "word " * 200 for i in range(1, 3001)))], "path string, value string")
+    assert verify.case_pages(many).count() == 3000
+
+
 def test_quotations_in_rounds(spark, tmp_path):
     texts = spark.createDataFrame([(i, f"before quote number {i} after") for i in range(20)], "doc_id long, text string")
     quotes = spark.createDataFrame([(i, f"quote number {i} after") for i in range(20)], "q long, quote string")

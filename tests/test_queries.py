@@ -83,3 +83,12 @@ def test_propositions_end_where_the_citation_starts(spark, tmp_path):
     ]
     got, wanted = against_sql(spark, "propositions", folder=str(tmp_path), conversations=("conv_id long, turn int, role string, text string", [(c, t, "user", x) for c, t, x in rows]))
     assert got == wanted and any("Dos lassee" in x for x in got)
+
+
+def test_case_pages_decode_the_listed_entities_only(spark, tmp_path):
+    rows = [
+        (0, "http://a?b=1&lt=2", "<p>cut at&amp &copy 2020 &#8217;&hellip; &amp;lt; &copy;&nbsp;&#39; a?x=1&sect=3</p>"), (1, "http://b", "x" * 4960 + "&lt;&gt;&quot;&amp;" * 20), (2, None, "<p>no address</p>"), (3, "http://c", None),
+        (4, "http://d", "\x0b a\x0bb\x85c\u2028\u2003d\r\n\fe \x85"), (5, "http://e", "\U0001f600&lt;" * 900), (5, "http://f", "the same key again"),
+    ]
+    got, wanted = against_sql(spark, "case_pages", folder=str(tmp_path), pages=("page_id long, url string, html string", rows))
+    assert got == wanted and len(got) == 21 and any("cut at&amp " in x for x in got)
