@@ -97,18 +97,19 @@ def _every_entity(piece: Column) -> Column:
 
 def case_pages(html: DataFrame, window: int = 5000, as_text: Callable[[Column], Column] = _every_entity) -> DataFrame:
     """path, page, text: a case's pages, cut once at their anchors (id="pN", or *N as their
-    text), for an equi-join on the page. A page goes to the next one's anchor; where the next
-    anchor is not the next page's, or there is none, it is `window` characters from its own
-    anchor on. The first anchor of a page counts. All of it happens within a row, so no text
+    text), for an equi-join on the page. A page goes to the next one's anchor, whatever other
+    anchors stand between; where there is none behind its own, it is `window` characters from
+    there on. The first anchor of a page counts. All of it happens within a row, so no text
     is shuffled. as_text makes a page's text from its piece of the file."""
     anchor = r'(?s)^(<a[^>]*\bid="p(\d+)"[^>]*>.*?</a>|<a[^>]*>\*(\d+)</a>)'
     number = lambda piece: F.coalesce(F.nullif(F.regexp_extract(piece, anchor, 2), F.lit("")), F.nullif(F.regexp_extract(piece, anchor, 3), F.lit(""))).cast("int")
     pieces = T.once(F.split("value", r'(?=<a[^>]*\bid="p\d+")|(?=<a[^>]*>\*\d+</a>)'), lambda x: F.struct(x.alias("pieces"), F.transform(x, number).alias("pages"), T.running(F.transform(x, lambda y: F.length(y).cast("long"))).alias("ends")))
 
     def piece(c: Column, i: Column) -> Column:
-        own, page = c["pieces"][i], c["pages"][i]
-        far = F.substring("value", (c["ends"][i] - F.length(own) + 1).cast("int"), F.lit(window))
-        return F.struct(page.alias("page"), F.when(F.get(c["pages"], i + 1) == page + 1, own).otherwise(far).alias("piece"))
+        page, after = c["pages"][i], F.array_position(c["pages"], c["pages"][i] + 1) - i - 1
+        after = F.when(after > 0, after).otherwise(F.array_position(F.slice(c["pages"], i + 2, F.size(c["pages"])), page + 1)).cast("int")
+        far = F.substring("value", (c["ends"][i] - F.length(c["pieces"][i]) + 1).cast("int"), F.lit(window))
+        return F.struct(page.alias("page"), T.once(after, lambda n: F.when(n > 0, F.array_join(F.slice(c["pieces"], i + 1, n), "")).otherwise(far)).alias("piece"))
 
     first = lambda c: F.filter(F.sequence(F.lit(0), F.size(c["pieces"]) - 1), lambda i: F.array_position(c["pages"], c["pages"][i]) == i + 1)
     rows = html.where("value IS NOT NULL").select("path", F.explode(T.once(pieces, lambda c: F.transform(first(c), lambda i: piece(c, i)))).alias("p"))

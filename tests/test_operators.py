@@ -368,6 +368,12 @@ def test_pages_across_a_gap_are_windows(spark):
     assert got[1] == "*1 one é’" and got[2].startswith("*2 two w w") and len(got[2]) < 60 and got[5] == "*5 five" and got[6].startswith("*6 six")
 
 
+def test_pages_go_on_past_other_anchors(spark):
+    html = spark.createDataFrame([("a", f'<a id="p2">*2</a> old <a id="p1">*1</a> one <a id="p1">*1</a> {"w " * 50}<a href="n">*9</a> end <a id="p2">*2</a> two')], "path string, value string")
+    got = {r["page"]: r["text"] for r in verify.case_pages(html, window=40).collect()}
+    assert got[1] == "*1 one *1 " + "w " * 50 + "*9 end" and got[2].startswith("*2 old") and len(got[2]) < 40 and got[9].startswith("*9 end")
+
+
 def test_case_pages_shuffle_no_text(spark):
     html = spark.createDataFrame([("a", '<a id="p2">*2</a> b <a id="p3">*3</a> c <a id="p2">*2</a> d'), ("e", None), ("f", ""), ("g", '<a id="p9">*9')], "path string, value string")
     made = verify.case_pages(html)
